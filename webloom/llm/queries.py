@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import lines, secrets
+from webloom.llm import lines, mixing, secrets, shards
 from webloom.llm.common import table
 
 
@@ -12,9 +12,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_line_dedup": op5_line_dedup, "op9_secret_scan": op9_secret_scan}
+QUERIES = {"op7_sharding": op7_sharding, "op8_mixing": op8_mixing, "op5_line_dedup": op5_line_dedup, "op9_secret_scan": op9_secret_scan}
 ORACLES = {"op5_line_dedup": lines.ORACLE}
