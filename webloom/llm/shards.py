@@ -28,7 +28,12 @@ def bucket_of(value: str, bounds: list[int]) -> Column:
     steps = max(1, len(bounds).bit_length())
     array = F.expr("array(" + ", ".join(f"{b}L" if b > -(1 << 63) else "(-9223372036854775807L - 1L)" for b in bounds) + ")")
     halves = F.expr("array(" + ", ".join(str(1 << i) for i in reversed(range(steps))) + ")")
-    return F.aggregate(halves, F.lit(0), lambda at, half: F.when((at + half <= len(bounds)) & (F.get(array, at + half - 1) <= F.col(value)), at + half).otherwise(at))
+    # The value goes along in the state: Catalyst overlooks columns that only a lambda's body names.
+    def step(state: Column, half: Column) -> Column:
+        further = (state["at"] + half <= len(bounds)) & (F.get(array, state["at"] + half - 1) <= state["v"])
+        return F.struct(F.when(further, state["at"] + half).otherwise(state["at"]).alias("at"), state["v"].alias("v"))
+
+    return F.aggregate(halves, F.struct(F.lit(0).alias("at"), F.col(value).alias("v")), step, lambda state: state["at"])
 
 
 def splitters(quantiles: list[int]) -> list[int]:
