@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import lines, mixing, secrets, shards
+from webloom.llm import lines, mixing, secrets, shards, simhash
 from webloom.llm.common import table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"))
 
@@ -24,5 +28,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_sharding": op7_sharding, "op8_mixing": op8_mixing, "op5_line_dedup": op5_line_dedup, "op9_secret_scan": op9_secret_scan}
+QUERIES = {"op2_simhash": op2_simhash, "op7_sharding": op7_sharding, "op8_mixing": op8_mixing, "op5_line_dedup": op5_line_dedup, "op9_secret_scan": op9_secret_scan}
 ORACLES = {"op5_line_dedup": lines.ORACLE}
