@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import lines, mixing, secrets, shards, simhash
+from webloom.llm import lines, mixing, quality, secrets, shards, simhash
 from webloom.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op7_sharding": op7_sharding, "op8_mixing": op8_mixing, "op5_line_dedup": op5_line_dedup, "op9_secret_scan": op9_secret_scan}
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op7_sharding": op7_sharding, "op8_mixing": op8_mixing, "op5_line_dedup": op5_line_dedup, "op9_secret_scan": op9_secret_scan}
 ORACLES = {"op5_line_dedup": lines.ORACLE}
