@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import lines, mixing, near, neighbours, quality, secrets, shards, simhash
+from webloom.llm import lines, mixing, near, neighbours, passages, quality, secrets, shards, simhash
 from webloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_of_table(table(spark, sf_dir, "embeddings"))
 
@@ -40,5 +44,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_near_dedup": op6_near_dedup, "op4_nearest": op4_nearest, "op1_quality": op1_quality, "op2_simhash": op2_simhash, "op7_sharding": op7_sharding, "op8_mixing": op8_mixing, "op5_line_dedup": op5_line_dedup, "op9_secret_scan": op9_secret_scan}
+QUERIES = {"op3_passages": op3_passages, "op6_near_dedup": op6_near_dedup, "op4_nearest": op4_nearest, "op1_quality": op1_quality, "op2_simhash": op2_simhash, "op7_sharding": op7_sharding, "op8_mixing": op8_mixing, "op5_line_dedup": op5_line_dedup, "op9_secret_scan": op9_secret_scan}
 ORACLES = {"op5_line_dedup": lines.ORACLE}
