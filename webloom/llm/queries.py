@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import lines, mixing, near, neighbours, passages, quality, secrets, shards, simhash
+from webloom.llm import lines, mixing, near, neighbours, passages, pieces, quality, secrets, shards, simhash
 from webloom.llm.common import table
 
 
@@ -44,5 +44,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_passages": op3_passages, "op6_near_dedup": op6_near_dedup, "op4_nearest": op4_nearest, "op1_quality": op1_quality, "op2_simhash": op2_simhash, "op7_sharding": op7_sharding, "op8_mixing": op8_mixing, "op5_line_dedup": op5_line_dedup, "op9_secret_scan": op9_secret_scan}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_sentencepiece": op10_sentencepiece, "op3_passages": op3_passages, "op6_near_dedup": op6_near_dedup, "op4_nearest": op4_nearest, "op1_quality": op1_quality, "op2_simhash": op2_simhash, "op7_sharding": op7_sharding, "op8_mixing": op8_mixing, "op5_line_dedup": op5_line_dedup, "op9_secret_scan": op9_secret_scan}
 ORACLES = {"op5_line_dedup": lines.ORACLE}
