@@ -134,10 +134,14 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 
 def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 8, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, dealt to its shards and shuffled inside them. Documents' columns and mix_shard."""
-    rows = docs.withColumn("_words", words(text))
-    taken = mix(rows, source=source, size="_words", ties=(doc_id, text), seed=seed, **options)
-    each = taken.select(*docs.columns, F.posexplode("mix_shards").alias("_copy", "mix_shard"))
-    shuffled = each.withColumn("_key", F.xxhash64(F.lit(seed), F.lit("shuffle"), doc_id, "_copy"))
+    """The mix itself: each document as often as it is taken, dealt to its shards and shuffled inside them.
+
+    Returns docs' columns and mix_shard. Rows that repeat are drawn together: each as often as the others.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64(doc_id, source, text))
+    slim = keyed.select("_row", F.col(source).alias("_source"), words(text).alias("_words")).groupBy("_row", "_source").agg(F.sum("_words").alias("_words"))
+    taken = mix(slim, source="_source", size="_words", ties=("_row",), seed=seed, **options).filter("copies > 0").select("_row", "mix_shards")
+    each = keyed.join(taken, "_row").select(*docs.columns, "_row", F.posexplode("mix_shards").alias("_copy", "mix_shard"))
+    shuffled = each.withColumn("_key", F.xxhash64(F.lit(seed), F.lit("shuffle"), "_row", "_copy"))
     pieces = F.pmod(F.col("_key"), F.lit(64))
-    return shuffled.repartition("mix_shard", pieces).sortWithinPartitions("mix_shard", "_key").drop("_key", "_copy")
+    return shuffled.repartition("mix_shard", pieces).sortWithinPartitions("mix_shard", "_key").drop("_key", "_copy", "_row")
