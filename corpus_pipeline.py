@@ -1,18 +1,72 @@
-"""The corpus pipeline: stages over documents, each by one operator."""
+"""The corpus pipeline: five stages over documents, each by one operator.
+
+quality        documents that the classifier rejects (probability of label 1 under 0.5) go
+line_dedup     lines that three documents or more hold stay in the one with the largest id only
+near_dedup     one document stays of each group of near duplicates (five words, similarity 0.8)
+mixing         sources are mixed to target weights: documents are left out, or come twice
+sentencepiece  texts are encoded; the result holds the ids, and sampled segmentations by digest
+
+A stage keeps the columns of documents, and n_chars is that of the text it leaves; only the last one returns
+others. Every stage takes any documents, an empty table too; extra columns go along up to the last.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from webloom.llm import lines, mixing, near, pieces, quality
+from webloom.llm.common import durable, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit_on(docs, table(spark, sf_dir, "labels"))
+    slim = docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs
+    scored = quality.with_score(slim, model).filter("score >= 0.5").drop("score")
+    return scored.withColumnRenamed("_score", "score") if "_score" in scored.columns else scored
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    done = lines.dedup_lines(docs, carry=others)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return done.select(*(made.get(c, F.col(f"carried_{c}")).alias(c) for c in docs.columns))
+
+
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = near.group_near(docs, near.Settings(words=5, percent=80))
+    kept = found.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    # Rows that repeat an id and its text are a group too: one stays.
+    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    own = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    return own.withColumn("_turn", F.row_number().over(same)).filter("_turn = 1").drop("_turn")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rows(docs).drop("mix_shard")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(docs, carry=("doc_id", "lang", "source"), with_ids=True).drop("sample_ids")
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_lines),
+    ("near_dedup", keep_one_of_near),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
+#: A trained classifier and seeded draws have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, in order, applied to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages, in order, applied to documents. What a stage keeps is written down before the next one reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        docs = docs if name == STAGES[-1][0] else durable(docs)
     return docs
