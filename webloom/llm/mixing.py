@@ -95,9 +95,9 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fraction =
     kind = rows.schema[source].dataType.simpleString()
     plan = rows.sparkSession.createDataFrame(
         [(i, r[0], n, t, p, b, x) for i, (r, n, t, p, b, x) in enumerate(zip(found, sizes, targets, passes, blocks, extra, strict=True))],
-        f"_ix int, _source {kind}, source_size long, target double, _passes int, _blocks long, _extra double",
+        f"_ix int, _mix_source {kind}, source_size long, target double, _passes int, _blocks long, _extra double",
     )
-    dealt = keyed.join(F.broadcast(plan), keyed[source].eqNullSafe(plan["_source"])).drop("_source")  # at most MAX_SOURCES rows
+    dealt = keyed.join(F.broadcast(plan), keyed[source].eqNullSafe(plan["_mix_source"])).drop("_mix_source")  # at most MAX_SOURCES rows
     dealt = dealt.withColumn("_block", F.pmod(F.xxhash64(F.lit("block"), "_h"), F.col("_blocks")))
 
     # The last pass ends where the extra words are reached: blocks in their order, then the documents of one block.
@@ -136,12 +136,12 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 8, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, dealt to its shards and shuffled inside them.
 
-    Returns docs' columns and mix_shard. Rows that repeat are drawn together: each as often as the others.
+    Returns docs' columns and mix_shard (which takes the place of one of that name). Rows that repeat are drawn together: each as often as the others.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(doc_id, source, text))
-    slim = keyed.select("_row", F.col(source).alias("_source"), words(text).alias("_words")).groupBy("_row", "_source").agg(F.sum("_words").alias("_words"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_all"), F.xxhash64(doc_id, source, text).alias("_row"), F.col(source).alias("_source"), words(text).alias("_words"))
+    slim = keyed.groupBy("_row", "_source").agg(F.sum("_words").alias("_words"))
     taken = mix(slim, source="_source", size="_words", ties=("_row",), seed=seed, **options).filter("copies > 0").select("_row", "mix_shards")
-    each = keyed.join(taken, "_row").select(*docs.columns, "_row", F.posexplode("mix_shards").alias("_copy", "mix_shard"))
+    each = keyed.select("_all", "_row").join(taken, "_row").select("_all", "_row", F.posexplode("mix_shards").alias("_copy", "_shard"))
     shuffled = each.withColumn("_key", F.xxhash64(F.lit(seed), F.lit("shuffle"), "_row", "_copy"))
-    pieces = F.pmod(F.col("_key"), F.lit(64))
-    return shuffled.repartition("mix_shard", pieces).sortWithinPartitions("mix_shard", "_key").drop("_key", "_copy", "_row")
+    dealt = shuffled.repartition("_shard", F.pmod(F.col("_key"), F.lit(64))).sortWithinPartitions("_shard", "_key")
+    return dealt.select(*(F.col("_all")[c].alias(c) for c in docs.columns if c != "mix_shard"), F.col("_shard").alias("mix_shard"))
