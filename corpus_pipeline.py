@@ -14,38 +14,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webloom.llm import lines, mixing, near, pieces, quality
 from webloom.llm.common import durable, table
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns as one, out of the way of the names that operators use."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_all")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit_on(docs, table(spark, sf_dir, "labels"))
-    slim = docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs
-    scored = quality.with_score(slim, model).filter("score >= 0.5").drop("score")
-    return scored.withColumnRenamed("_score", "score") if "_score" in scored.columns else scored
+    return quality.with_score(docs.select(whole(docs), "text"), model).filter("score >= 0.5").select("_all.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    done = lines.dedup_lines(docs, carry=others)
-    made = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return done.select(*(made.get(c, F.col(f"carried_{c}")).alias(c) for c in docs.columns))
+    done = lines.dedup_lines(docs.select(whole(docs), "doc_id", "text"), carry=["_all"])
+    made = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return done.select(*(made.get(c, F.col("carried__all")[c]).alias(c) for c in docs.columns))
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near.group_near(docs, near.Settings(words=5, percent=80))
+    found = near.group_near(docs.select("doc_id", "text"), near.Settings(words=5, percent=80))
     kept = found.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    own = docs.select(whole(docs), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+    own = own.join(kept, own["_id"].eqNullSafe(kept["_kept"]), "left_semi")
     # Rows that repeat an id and its text are a group too: one stays.
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    own = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return own.withColumn("_turn", F.row_number().over(same)).filter("_turn = 1").drop("_turn")
+    same = Window.partitionBy("_id", "_text").orderBy(F.lit(0))
+    return own.withColumn("_turn", F.row_number().over(same)).filter("_turn = 1").select("_all.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_rows(docs).drop("mix_shard")
+    mixed = mixing.mixed_rows(docs.select(whole(docs), "doc_id", "text", "source"))
+    return mixed.select("_all.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
