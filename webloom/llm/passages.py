@@ -16,6 +16,7 @@ Equal texts are settled beforehand: only the one with the smallest id is sorted.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -120,6 +121,21 @@ def super_windows(texts: list[bytes], s: Settings) -> Windows:
     return Windows(data, starts, key, text, at, count)
 
 
+def squeezed(records: np.ndarray) -> bytes:
+    """Records field by field, deflated: what a shuffle writes is mostly super-windows."""
+    return zlib.compress(b"".join(records[f].tobytes() for f in records.dtype.names), 1)
+
+
+def unsqueezed(data: bytes, dtype: np.dtype) -> np.ndarray:
+    data, at = zlib.decompress(data), 0
+    out = np.empty(len(data) // dtype.itemsize, dtype)
+    for f in dtype.names:
+        own = np.frombuffer(data, dtype[f], len(out), at)
+        out[f] = own
+        at += own.nbytes
+    return out
+
+
 def eight_bytes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on, as one number whose order is theirs."""
     return np.lib.stride_tricks.sliding_window_view(data, 8)[at].view(">u8")[:, 0].astype(np.uint64)
@@ -306,8 +322,8 @@ def stringer(shards: int, s: Settings):
         return pa.table({
             "shard": pa.array((record["key"][begin] % np.uint64(shards)).astype(np.int32)),
             "block": pa.array([block_of(docs, messages)] * len(begin), pa.int32()),
-            "payload": pa.array([record[a:b].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary()),
-            "strings": pa.array([blob[(ends - size)[a] : ends[b - 1]].tobytes() for a, b in zip(begin, end, strict=True)], pa.binary()),
+            "payload": pa.array([squeezed(record[a:b]) for a, b in zip(begin, end, strict=True)], pa.binary()),
+            "strings": pa.array([zlib.compress(blob[(ends - size)[a] : ends[b - 1]].tobytes(), 1) for a, b in zip(begin, end, strict=True)], pa.binary()),
         })
 
     return send
@@ -317,9 +333,9 @@ def sorter(s: Settings):
     """For each block's super-windows, the windows that a smaller document than its largest holds, in runs."""
 
     def sort(rows: pa.Table) -> pa.Table:
-        sent = packed(rows["payload"], RECORD)
+        sent = [unsqueezed(x.as_py(), RECORD) for x in rows["payload"]]
         record = np.concatenate(sent)
-        data = np.frombuffer(b"".join(x.as_py() for x in rows["strings"]) + bytes(8 * s.digits + 8), np.uint8)
+        data = np.frombuffer(b"".join(zlib.decompress(x.as_py()) for x in rows["strings"]) + bytes(8 * s.digits + 8), np.uint8)
         count = record["windows"].astype(int)
         size = count + s.length - 1
         at = np.cumsum(size) - size
