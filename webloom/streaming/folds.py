@@ -1,21 +1,25 @@
-"""State over time as folds: circuit breaker, rate limiter, cache. Each key's events, in the order of time and number, are one
-array that an aggregate passes through with its state. The twins in ``processors`` do the same on streams.
+"""State over time: circuit breaker, rate limiter, cache. The twins in ``processors`` do the same on streams.
 
-Events of a key are gathered in one row, as their order demands; keys share the work. ``salt`` of a cache's key
-does not change what is asked of it, so keys may be as fine as the caller likes.
+The limiter has a closed form, a running maximum. The breaker and the cache are folds: a key's events, in the
+order of time and number, are passed through with a state. They are cut where the state is known whatever came
+before, so an array is as long as such a stretch and not as a key's whole past.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import rules
 
 
-def gathered(events: DataFrame, key: str, *fields: str) -> DataFrame:
-    """key and _e, its events as structs (t, n, fields), sorted. t: microseconds; n: a number against ties."""
-    return events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("t", "n", *fields))).alias("_e"))
+def gathered(events: DataFrame, key: str, fresh: Column, *fields: str) -> DataFrame:
+    """key and _e, stretches of its events as sorted structs (t, n, fields). A stretch begins where ``fresh`` holds; it may
+    ask for the time of the event before, _t."""
+    order = Window.partitionBy(key).orderBy("t", "n")
+    cut = events.withColumn("_t", F.lag("t").over(order)).withColumn("_fresh", fresh.cast("int"))
+    cut = cut.withColumn("_run", F.sum(F.coalesce("_fresh", F.lit(0))).over(order))
+    return cut.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("t", "n", *fields))).alias("_e"))
 
 
 def success(ok: Column, results: Column) -> Column:
@@ -28,7 +32,8 @@ def breaker(events: DataFrame, key: str = "backend", failures: int = rules.BREAK
     """From events (key, t, n, ok: true, false or null): key, n, t, admitted, failures_after, open_after.
 
     A call is skipped while the circuit is open and the last failure is less than ``cooldown`` ago; then calls
-    are admitted again, until one fails, which opens it anew, or succeeds, which closes it.
+    are admitted again, until one fails, which opens it anew, or succeeds, which closes it. A success after a pause
+    of ``cooldown`` is thus admitted and leaves nothing behind: a stretch begins with it.
     """
     start = F.struct(F.lit(0).alias("c"), F.lit(False).alias("o"), F.lit(0).cast("long").alias("f"), F.array().cast("array<struct<n:bigint,t:bigint,a:boolean,c:int,o:boolean>>").alias("out"))
 
@@ -40,7 +45,7 @@ def breaker(events: DataFrame, key: str = "backend", failures: int = rules.BREAK
         row = F.struct(e["n"].cast("long").alias("n"), e["t"].alias("t"), admitted.alias("a"), c.alias("c"), o.alias("o"))
         return F.struct(c.alias("c"), o.alias("o"), F.when(bad, e["t"]).otherwise(s["f"]).alias("f"), F.concat(s["out"], F.array(row)).alias("out"))
 
-    rows = gathered(events, key, "ok").select(key, F.explode(F.aggregate("_e", start, step, lambda s: s["out"])).alias("_r"))
+    rows = gathered(events, key, F.col("ok") & (F.col("t") - F.col("_t") >= cooldown), "ok").select(key, F.explode(F.aggregate("_e", start, step, lambda s: s["out"])).alias("_r"))
     return rows.select(key, F.col("_r.n").alias("n"), F.col("_r.t").alias("t"), F.col("_r.a").alias("admitted"), F.col("_r.c").alias("failures_after"), F.col("_r.o").alias("open_after"))
 
 
@@ -54,16 +59,17 @@ def with_retries(events: DataFrame) -> DataFrame:
 
 
 def limiter(events: DataFrame, key: str, period: int, burst: int) -> DataFrame:
-    """From events (key, t, n): key, n, t, admitted_at: calls wait, none is refused. ``burst`` calls may come at once, one each ``period`` after."""
-    start = F.struct(F.lit(-(1 << 62)).alias("tat"), F.array().cast("array<struct<n:bigint,t:bigint,at:bigint>>").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        at = F.greatest(e["t"], s["tat"] - (burst - 1) * period)
-        row = F.struct(e["n"].cast("long").alias("n"), e["t"].alias("t"), at.alias("at"))
-        return F.struct((F.greatest(s["tat"], at) + period).alias("tat"), F.concat(s["out"], F.array(row)).alias("out"))
+    """From events (key, t, n): key, n, t, admitted_at: calls wait, none is refused. ``burst`` calls may come at once, one each ``period`` after.
 
-    rows = gathered(events, key).select(key, F.explode(F.aggregate("_e", start, step, lambda s: s["out"])).alias("_r"))
-    return rows.select(key, F.col("_r.n").alias("n"), F.col("_r.t").alias("t"), F.col("_r.at").alias("admitted_at"))
+    Each call moves the time from which the key owes nothing to the later of it and the call, plus a period; so
+    before the call of number i that time is i periods and the largest t - j periods of the calls j before it.
+    """
+    order = Window.partitionBy(key).orderBy("t", "n")
+    own = events.select(key, "n", "t", (F.row_number().over(order) - 1).cast("long").alias("_i"))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    owed = F.max(F.col("t") - F.col("_i") * period).over(before) + F.col("_i") * period
+    at = F.greatest("t", F.coalesce(owed - (burst - 1) * period, F.col("t")))
+    return own.withColumn("admitted_at", at).select(key, F.col("n").cast("long").alias("n"), "t", "admitted_at")
 
 
 def search_key(query: Column, region: Column, safe: Column) -> Column:
@@ -77,7 +83,7 @@ def page_key(url: Column, selector: Column) -> Column:
 
 def cache(events: DataFrame, key: str = "key", ttl: int = rules.CACHE_TTL, enabled: bool = True) -> DataFrame:
     """From requests (key, t, n): key, n, t, hit, stored_at. An entry lives for ``ttl`` from when it was stored, whatever reads it;
-    a miss stores. Without ``enabled`` nothing is stored."""
+    a miss stores. Without ``enabled`` nothing is stored. A request ``ttl`` after the one before misses: a stretch begins."""
     start = F.struct(F.lit(None).cast("long").alias("s"), F.array().cast("array<struct<n:bigint,t:bigint,h:boolean,s:bigint>>").alias("out"))
 
     def step(s: Column, e: Column) -> Column:
@@ -86,7 +92,7 @@ def cache(events: DataFrame, key: str = "key", ttl: int = rules.CACHE_TTL, enabl
         row = F.struct(e["n"].cast("long").alias("n"), e["t"].alias("t"), hit.alias("h"), stored.alias("s"))
         return F.struct(stored.alias("s"), F.concat(s["out"], F.array(row)).alias("out"))
 
-    rows = gathered(events, key).select(key, F.explode(F.aggregate("_e", start, step, lambda s: s["out"])).alias("_r"))
+    rows = gathered(events, key, F.col("t") - F.col("_t") >= ttl).select(key, F.explode(F.aggregate("_e", start, step, lambda s: s["out"])).alias("_r"))
     return rows.select(key, F.col("_r.n").alias("n"), F.col("_r.t").alias("t"), F.col("_r.h").alias("hit"), F.col("_r.s").alias("stored_at"))
 
 
@@ -108,8 +114,6 @@ def cache_stats(entries: DataFrame, as_of: int, ttl: int = rules.CACHE_TTL, capa
 
 def streaks(events: DataFrame, key: str = "backend") -> DataFrame:
     """Add streak: failures in a row up to each event (key, t, n, ok), without skips."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy(key).orderBy("t", "n")
     island = F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(order)
     counted = events.withColumn("_i", island)
