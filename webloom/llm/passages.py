@@ -446,3 +446,22 @@ def remove_passages(docs: DataFrame, s: Settings = Settings(), doc_id: str = "do
     runs = supers.groupBy("shard").applyInArrow(sorter(s), MESSAGE)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start:long,end:long>>" * with_spans
     return by.cogroup(copies.unionByName(runs).groupBy("block")).applyInArrow(remover(s, with_spans), schema)
+
+
+#: The same rows in DuckDB's SQL, on texts as hexadecimal digits.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+w AS (SELECT r, doc_id, p, substr(hx, 2 * p + 1, 100) AS k
+      FROM (SELECT r, doc_id, hx, unnest(range(length(hx) // 2 - 49)) AS p FROM d WHERE length(hx) >= 100)),
+low AS (SELECT k, min(doc_id) AS first_id FROM w GROUP BY k),
+gone AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS far FROM w JOIN low USING (k) WHERE first_id < doc_id),
+numbered AS (SELECT r, p, sum(CASE WHEN far <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS span FROM gone),
+spans AS (SELECT r, span, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY r, span),
+sums AS (SELECT r, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY r),
+edges AS (SELECT r, a AS upto, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS since FROM spans
+          UNION ALL SELECT d.r, length(hx) // 2, coalesce(max(b), 0) FROM d LEFT JOIN spans USING (r) GROUP BY d.r, hx),
+kept AS (SELECT r, string_agg(substr(hx, 2 * since + 1, 2 * (upto - since)), '' ORDER BY since) AS hx FROM edges JOIN d USING (r) GROUP BY r)
+SELECT d.doc_id, (length(d.hx) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept.hx)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN sums USING (r)
+"""
