@@ -183,6 +183,7 @@ def test_engine(spark):
     answers = spark.createDataFrame([(1, "github", '{"items":[{"full_name":"o/r","html_url":"https://r.com/1","description":"d","stargazers_count":3}]}'), (1, "wiby", '[{"Title":"w","URL":"https://w.com","Snippet":"s"},{"Title":"again","URL":"https://r.com/1"}]'), (1, "serper", '{"organic":[{"title":"no key","link":"https://n.com"}]}')], "query_id int, source string, body string")
     engine = Engine(spark, pages, answers)
     got = {r["query_id"]: r for r in engine.search(spark.createDataFrame([(1, "Привет"), (2, "nothing")], "query_id int, query string")).collect()}
+    assert engine.check().filter("ok").count() == 9
     assert [x["url"] for x in got[1]["data"]] == ["https://r.com/1", "https://w.com"] and got[1]["data"][0]["description"].startswith("word word")
     assert got[1]["metadata"]["query_analysis"]["language"] == "ru" and got[2]["data"] == [] and got[2]["metadata"]["result_count"] == 0
     visited = {r["url"]: r for r in engine.visit(spark.createDataFrame([("https://e.com/a",), ("ftp://x",), ("https://gone.com/",)], "url string")).collect()}

@@ -107,20 +107,18 @@ def body_fits(body: Name) -> Column:
     return F.octet_length(_c(body)) <= rules.MAX_BODY
 
 
-def route(content_type: Name, body: Name) -> Column:
-    """html, pdf or binary: by the header if it tells pdf or binary, else by the first bytes, else by header and UTF-8."""
-    m, s = F.coalesce(mime(content_type), F.lit("")), sniffed(body)
+def route_by(m: Column, s: Column, is_text: Column) -> Column:
+    """html, pdf or binary: by the header (m) if it tells pdf or binary, else by the first bytes (s), else by header and UTF-8."""
     by_bytes = (
         F.when(s == "application/pdf", "pdf")
         .when(s.isin("text/html", "application/xhtml+xml"), "html")
         .when(F.coalesce(binary_mime(s), F.lit(False)), "binary")
         .when(s.startswith("text/"), "html")
     )
-    fallback = F.when(m.contains("text/html") | F.is_valid_utf8(_c(body).cast("string")), "html").otherwise("binary")
+    fallback = F.when(m.contains("text/html") | is_text, "html").otherwise("binary")
     return F.when(m.contains("application/pdf"), "pdf").when(known_binary(m), "binary").otherwise(F.coalesce(by_bytes, fallback))
 
 
-def binary_kind(content_type: Name, body: Name) -> Column:
-    """What a binary body is called: its sniffed or its declared content type, or octet-stream."""
-    m = F.coalesce(mime(content_type), F.lit(""))
-    return F.when(known_binary(m), m).otherwise(F.coalesce(sniffed(body), F.nullif(m, F.lit("")), F.lit("application/octet-stream")))
+def binary_name(m: Column, s: Column) -> Column:
+    """What a binary body is called: its declared content type if known, else its sniffed or its declared one, or octet-stream."""
+    return F.when(known_binary(m), m).otherwise(F.coalesce(s, F.nullif(m, F.lit("")), F.lit("application/octet-stream")))

@@ -45,33 +45,46 @@ def dispatched(rows: DataFrame) -> DataFrame:
     need, prefix = F.lit(None).cast("string"), F.lit(None).cast("string")
     for names, field, word in ((("web_search", "search_duckduckgo"), "query", "search"), (("visit_page",), "url", "fetch"), (("crawl_site",), "root_url", "crawl")):
         need, prefix = F.when(F.col("tool").isin(*names), field).otherwise(need), F.when(F.col("tool").isin(*names), word).otherwise(prefix)
-    given = F.coalesce(*(F.when(need == f, F.try_variant_get("arguments", f"$.{f}", "string")) for f in ("query", "url", "root_url")))
-    typed = F.coalesce(*(F.when(need == f, F.schema_of_variant(F.try_variant_get("arguments", f"$.{f}", "variant"))) for f in ("query", "url", "root_url")))
-    bad_arguments = need.isNotNull() & (given.isNull() | (typed != "STRING"))
-    bad_url = (F.col("tool") == "visit_page") & ~urls.is_http(given)
+    # In steps, so that the arguments are looked at once.
+    rows = rows.withColumns({"_need": need, "_prefix": prefix})
+    need, prefix = F.col("_need"), F.col("_prefix")
+    own = lambda kind: F.coalesce(*(F.when(need == f, F.try_variant_get("arguments", f"$.{f}", kind)) for f in ("query", "url", "root_url")))
+    rows = rows.withColumns({"argument": own("string"), "_typed": F.schema_of_variant(own("variant"))})
+    given = F.col("argument")
+    facts = F.struct(
+        "valid", "method", "tool", need.alias("need"), prefix.alias("prefix"), absent.alias("absent"),
+        (need.isNotNull() & (F.col("argument").isNull() | F.coalesce(F.col("_typed") != "STRING", F.lit(True)))).alias("bad"),
+        ((F.col("tool") == "visit_page") & ~urls.is_http("argument")).alias("bad_url"),
+    )
+    # An array of one, so that the facts are gathered once, and the decision stays out of the generated code.
+    rows = rows.withColumn("_d", F.transform(F.array(facts), decided)[0])
+    return rows.withColumns({k: F.col(f"_d.{k}") for k in ("action", "code", "message")}).drop("_need", "_prefix", "_typed", "_d")
+
+
+def decided(x: Column) -> Column:
+    """action, code and message from the facts of a request."""
+    call = x["method"] == "tools/call"
     action = (
-        F.when(~F.col("valid"), "error")
-        .when(F.col("method") == "initialize", "info")
-        .when(F.col("method").isin("initialized", "notifications/initialized", "ping"), "empty")
-        .when(F.col("method") == "tools/list", "tools")
-        .when(call & absent, "error")
-        .when(call & need.isNull(), "error")
-        .when(call & bad_arguments, "error")
-        .when(call & bad_url, "tool_error")
-        .when(call, F.concat(F.lit("call:"), prefix))
+        F.when(~x["valid"], "error")
+        .when(x["method"] == "initialize", "info")
+        .when(x["method"].isin("initialized", "notifications/initialized", "ping"), "empty")
+        .when(x["method"] == "tools/list", "tools")
+        .when(call & (x["absent"] | x["need"].isNull() | x["bad"]), "error")
+        .when(call & x["bad_url"], "tool_error")
+        .when(call, F.concat(F.lit("call:"), x["prefix"]))
         .otherwise("error")
     )
-    code = F.when(~F.col("valid"), rules.PARSE_ERROR).when(call & absent, rules.BAD_PARAMS).when(call & need.isNull(), rules.NO_METHOD).when(call & bad_arguments, rules.BAD_PARAMS).otherwise(rules.NO_METHOD)
+    code = F.when(~x["valid"], rules.PARSE_ERROR).when(call & x["absent"], rules.BAD_PARAMS).when(call & x["need"].isNull(), rules.NO_METHOD).when(call & x["bad"], rules.BAD_PARAMS).otherwise(rules.NO_METHOD)
     message = (
-        F.when(~F.col("valid"), "Parse error")
-        .when(call & absent, "Missing parameters")
-        .when(call & need.isNull(), F.concat(F.lit("Unknown tool: "), F.col("tool")))
-        .when(call & bad_arguments, F.concat(F.lit("Invalid "), prefix, F.lit(" arguments")))
-        .otherwise(F.concat(F.lit("Method not found: "), F.col("method")))
+        F.when(~x["valid"], "Parse error")
+        .when(call & x["absent"], "Missing parameters")
+        .when(call & x["need"].isNull(), F.concat(F.lit("Unknown tool: "), x["tool"]))
+        .when(call & x["bad"], F.concat(F.lit("Invalid "), x["prefix"], F.lit(" arguments")))
+        .otherwise(F.concat(F.lit("Method not found: "), x["method"]))
     )
-    rows = rows.withColumns({"action": action, "argument": given})
-    failed = F.col("action") == "error"
-    return rows.withColumns({"code": F.when(failed, code), "message": F.when(failed, message).when(F.col("action") == "tool_error", "Invalid URL: must be HTTP or HTTPS")})
+    failed = action == "error"
+    shown = F.when(failed, message).when(action == "tool_error", "Invalid URL: must be HTTP or HTTPS")
+    return F.struct(action.alias("action"), F.when(failed, code).alias("code"), shown.alias("message"))
 
 
 def envelope(content: Name, is_error: Column | bool = False) -> Column:

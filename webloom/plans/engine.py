@@ -19,6 +19,12 @@ class Engine:
         self.spark, self.pages, self.answers = spark, pages, answers
         self.sources = registry.registry(spark, keys)
 
+    def check(self) -> DataFrame:
+        """item, ok, detail: which sources can be asked, and what captured tables there are to answer from."""
+        have = [("pages", self.pages is not None, "url, html"), ("answers", self.answers is not None, "query_id, source, body")]
+        tables = self.spark.createDataFrame(have, "item string, ok boolean, detail string")
+        return self.sources.select(F.col("source").alias("item"), F.col("available").alias("ok"), F.concat(F.lit("limiter "), "limiter").alias("detail")).unionByName(tables)
+
     def search(self, queries: DataFrame, enriched: bool = True) -> DataFrame:
         """A response for each query (query_id, query; region, safe_search, num_results if there)."""
         usual = {"region": F.lit("wt-wt"), "safe_search": F.lit("MODERATE"), "num_results": F.lit(10)}

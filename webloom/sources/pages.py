@@ -24,15 +24,17 @@ def captured(spark: SparkSession, path: str) -> DataFrame:
 
 def routed(pages: DataFrame, body: str = "body", content_type: str = "content_type") -> DataFrame:
     """Add content: struct<kind, text, mime, size>, kind being html, pdf, binary or too_large."""
-    fits = classify.body_fits(body)
-    kind = F.when(~fits, "too_large").otherwise(classify.route(content_type, body))
+    # In steps, so that the first bytes are looked at once.
+    steps = pages.withColumns({"_m": F.coalesce(classify.mime(content_type), F.lit("")), "_s": classify.sniffed(body)})
+    kind = F.when(~classify.body_fits(body), "too_large").otherwise(classify.route_by(F.col("_m"), F.col("_s"), F.is_valid_utf8(F.col(body).cast("string"))))
+    steps = steps.withColumn("_kind", kind)
     shown = F.struct(
-        kind.alias("kind"),
-        F.when(kind == "html", text.lossy_utf8(body)).alias("text"),
-        F.when(kind == "binary", classify.binary_kind(content_type, body)).alias("mime"),
+        F.col("_kind").alias("kind"),
+        F.when(F.col("_kind") == "html", text.lossy_utf8(body)).alias("text"),
+        F.when(F.col("_kind") == "binary", classify.binary_name(F.col("_m"), F.col("_s"))).alias("mime"),
         F.octet_length(body).cast("long").alias("size"),
     )
-    return pages.withColumn("content", shown)
+    return steps.withColumn("content", shown).drop("_m", "_s", "_kind")
 
 
 def pdf_pages(pages: DataFrame, url: str = "url", body: str = "body") -> DataFrame:
