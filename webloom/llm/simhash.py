@@ -105,7 +105,7 @@ def with_next(rows: DataFrame, id_: str, text: str, per_bucket: int = 256) -> Da
     """
     low, high, n = rows.agg(F.min(id_), F.max(id_), F.count(id_)).first()
     width = 1 if low is None else max(1, (int(high) - int(low) + 1) * per_bucket // max(1, n))
-    rows = rows.withColumn("_bucket", F.coalesce(F.floor((F.lit(high) - F.col(id_)) / width) if n else F.lit(None), F.lit(1 << 62)).cast("long"))
+    rows = rows.withColumn("_bucket", F.coalesce(F.floor((F.lit(float(high)) - F.col(id_).cast("double")) / width) if n else F.lit(None), F.lit(1 << 62)).cast("long"))
     # Each bucket's largest id, and the bucket before it that has rows; the last one is before the first.
     heads = durable(rows.groupBy("_bucket").agg(F.max(id_).alias("_head")).withColumn("_far", F.floor(F.col("_bucket") / 4096)))
     count, last = heads.agg(F.count(F.lit(1)), F.max("_bucket")).first()
