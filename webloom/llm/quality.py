@@ -127,20 +127,25 @@ class Model:
 
 
 def word_vectors(texts: list[str], s: Settings) -> tuple[list[str], np.ndarray]:
-    """Sums of the neighbours' index vectors of each word of the vocabulary."""
-    streams = [[w.lower().strip(".,") for w in t.split()] for t in texts]
-    counts = Counter(w for x in streams for w in x)
+    """Sums of the neighbours' index vectors of each word of the vocabulary. Texts are read twice; only numbers of words are held."""
+    plain = lambda text: (w.lower().strip(".,") for w in text.split())
+    counts: Counter = Counter()
+    for text in texts:
+        counts.update(plain(text))
     words = sorted((w for w, n in counts.items() if n >= s.least_count and w), key=lambda w: (-counts[w], w))[: s.max_vocab]
+    del counts
     ids = {w: i for i, w in enumerate(words)}
     at, sign = index_vectors(words, s.dims, s.nonzero)
-    flat = np.fromiter((i for x in streams for i in (*(ids.get(w, -1) for w in x), *[-1] * s.window)), np.int64)
+    flat = np.fromiter((i for text in texts for i in (*map(lambda w: ids.get(w, -1), plain(text)), *[-1] * s.window)), np.int32)
     sums = np.zeros(len(words) * s.dims)
     for far in range(1, s.window + 1):
         for a, b in ((flat[:-far], flat[far:]), (flat[far:], flat[:-far])):
             both = (a >= 0) & (b >= 0)
-            a, b = a[both], b[both]
-            for k in range(s.nonzero):
-                sums += np.bincount(a * s.dims + at[b, k], sign[b, k], len(sums))
+            a, b = a[both].astype(np.int64), b[both]
+            for i in range(0, len(a), 1 << 20):
+                own, other = a[i : i + (1 << 20)] * s.dims, b[i : i + (1 << 20)]
+                for k in range(s.nonzero):
+                    sums += np.bincount(own + at[other, k], sign[other, k], len(sums))
     sums = sums.reshape(len(words), s.dims)
     sums /= np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     return words, np.vstack([sums, np.zeros((1, s.dims))]).astype(np.float32)
