@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 from collections.abc import Iterator
@@ -69,3 +70,12 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> Iterator[bytes]:
 def packed(column: pa.ChunkedArray | pa.Array, dtype: np.dtype) -> list[np.ndarray]:
     """Binary values as arrays of records."""
     return [np.frombuffer(x.as_py(), dtype) for x in column]
+
+
+def tidy() -> None:
+    """Give free memory back to the system: a worker lives through many stages, and what it keeps adds up on its host."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import LOWER_BYTES, SPACE, packed, parts_for, strings, text_bytes
+from webloom.llm.common import LOWER_BYTES, SPACE, packed, parts_for, strings, text_bytes, tidy
 
 #: What a block tells of a line, and what it hears. first and second: halves of the line's 128-bit hash.
 SENT = np.dtype([("first", "<u8"), ("second", "<u8"), ("docs", "<u4"), ("last", "<i8")])
@@ -148,6 +148,7 @@ def cleaner(least: int, with_text: bool):
         out = {"doc_id": docs["id"], "n_lines": pa.array(total, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         if with_text:
             out |= {"kept_text": pa.array(kept, pa.string())} | {c: docs[c] for c in docs.column_names if c not in ("id", "text", "block")}
+        tidy()
         return pa.table(out)
 
     return clean

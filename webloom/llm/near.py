@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import LOWER_BYTES, durable, parts_for, utf8
+from webloom.llm.common import LOWER_BYTES, durable, parts_for, tidy, utf8
 from webloom.llm.graphs import components, unite
 
 #: A leader covers nodes that resemble it this much; nodes are tied to leaders they resemble that much. With links of
@@ -106,7 +106,7 @@ def signatures(elements: np.ndarray, doc: np.ndarray, docs: int, m: int) -> np.n
     return sig.reshape(docs, m)
 
 
-def signer(s: Settings, together: int = 150_000):
+def signer(s: Settings, together: int = 50_000):
     def flush(waiting: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         sizes = [len(x) for x in waiting]
         sig = signatures(np.concatenate(waiting), np.repeat(np.arange(len(sizes)), sizes), len(sizes), s.length)
@@ -119,7 +119,7 @@ def signer(s: Settings, together: int = 150_000):
         return bands, (stirred(sig, 9) >> np.uint64(56)).astype(np.uint8)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             sizes, nodes, bands, sketches, waiting, where, held = [], [], [None] * batch.num_rows, [None] * batch.num_rows, [], [], 0
 
             def empty_out():
@@ -146,6 +146,7 @@ def signer(s: Settings, together: int = 150_000):
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                 names=["doc_id", "n", "node", "bands", "sketch"],
             )
+        tidy()
 
     return sign
 

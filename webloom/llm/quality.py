@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import strings
+from webloom.llm.common import strings, tidy
 
 #: Pseudo-words, counted per word: repeats its neighbour, seen before in the text; then seen lines per line, log of the length, no word at all.
 PSEUDO = 5
@@ -205,15 +205,17 @@ def fit(texts: list[str], labels: list[int], s: Settings = Settings()) -> Model:
 def scorer(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(model.words, model.settings.shapes)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if model.constant is not None:
-                found = np.full(batch.num_rows, model.constant)
-            else:
-                found = model.scores(np.array([model.pooled(t, rows) for t in strings(batch.column("_text"))]))
-            names = [c for c in batch.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.float64())], names=[*names, "score"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):  # few texts at a time as Python strings
+                batch = whole.slice(at, 256)
+                if model.constant is not None:
+                    found = np.full(batch.num_rows, model.constant)
+                else:
+                    found = model.scores(np.array([model.pooled(t, rows) for t in strings(batch.column("_text"))]))
+                names = [c for c in batch.schema.names if c != "_text"]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.float64())], names=[*names, "score"])
+        rows.clear()
+        tidy()
 
     return score
 
