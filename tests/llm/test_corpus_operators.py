@@ -247,6 +247,48 @@ def test_pieces_are_drawn_by_probability_without_replacement():
     assert len(short) <= 3
 
 
+def ways(text, ids, weight):
+    """All segmentations of a text into pieces with their log-weights."""
+    if not text:
+        return {(): 0.0}
+    heads = [text[:k] for k in range(1, len(text) + 1) if text[:k] in ids]
+    return {(ids[x], *path): weight[x] + p for x in heads for path, p in ways(text[len(x) :], ids, weight).items()}
+
+
+def test_pieces_are_drawn_from_the_whole_lattice():
+    s = pieces.Settings(samples=3, ahead=2)
+    lattice = pieces.lattice(pieces.model_bytes(s.model), s)
+    ids, weight = pieces.vocabulary(lattice.processor, s)
+    for text in ("Hello", "of a Cat", "a"):
+        every = ways("\u2581" + text.replace(" ", "\u2581"), ids, weight)
+        whole = np.logaddexp.reduce(list(every.values()))
+        chance = {path: math.exp(p - whole) for path, p in every.items()}
+        given = np.array(lattice.processor.encode(text), np.int32)
+        first, second, n = Counter(), Counter(), 4000
+        for key in range(n):
+            found, _ = lattice.sample(given, key)
+            drawn = [tuple(x.tolist()) for x, _ in found]
+            assert len(set(drawn)) == min(3, len(chance))
+            assert all(abs(math.exp(p) - chance[x]) < 1e-9 for x, (_, p) in zip(drawn, found, strict=True))
+            first[drawn[0]] += 1
+            second[drawn[1]] += 1
+        then = {b: sum(pa * pb / (1 - pa) for a, pa in chance.items() if a != b) for b, pb in chance.items()}
+        for path in sorted(chance, key=chance.get)[-5:]:
+            assert abs(first[path] / n - chance[path]) < 5 * (0.25 / n) ** 0.5
+            assert abs(second[path] / n - then[path]) < 5 * (0.25 / n) ** 0.5
+
+
+def test_pieces_do_not_depend_on_other_texts():
+    s = pieces.Settings()
+    lattice = pieces.WholeLattice(pieces.model_bytes(s.model), s)
+    texts = ["Hello there", "", "=-" * 700, "é日\u0000\U0001f600 x" * 30, "Hello again", "ab " * 900]
+    shown = lambda rows: [(k, [(x.tolist(), p) for x, p in found], after) for k, _, _, (found, after) in rows]
+    together = shown(pieces.sampled_texts(lattice, list(range(6)), texts))
+    lattice.KEPT = -1  # all anew for each
+    alone = [x for k, t in enumerate(texts) for x in shown(pieces.sampled_texts(lattice, [k], [t]))]
+    assert together == alone and [len(x[1]) for x in alone] == [2, 0, 2, 2, 2, 2]
+
+
 # ---- pipeline and registry
 
 

@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding, and sampled segmentations by Gumbel top-k without replacement.
 
-A text is encoded by the model and decoded again. Its lattice holds the refinements of that encoding: every
-piece may be written as any of its ``width`` most likely segmentations into pieces of the vocabulary; a
-segmentation's weight is the product of its pieces' weights, which fall with a piece's rank. All paths race:
+A text is encoded by the model and decoded again. Its lattice holds every piece of the vocabulary at every
+character where it fits (what the model writes by bytes has that one way); a segmentation's weight is the
+product of its pieces' weights, which fall with a piece's rank. Between two characters that no piece has next
+to each other every path has a boundary, so the lattice is a chain of segments, mostly words; sums over all
+ways to the end of a segment, taken backward, turn weights into probabilities. All paths race:
 each arrives after an exponential time whose rate is its probability (the logarithm of that time, negated,
 is its Gumbel-perturbed log-probability), and the first k to arrive are a sample without replacement. A best-
 first search finds them. A node is a set of paths that share a prefix, with the time its first path arrives;
@@ -15,8 +17,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import sys
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from webloom.llm.common import strings, tidy
 
 @dataclass(frozen=True)
 class Settings:
-    """model: the vocabulary file. samples: segmentations of each text. width: of each piece. ahead: places a node is split into at a time."""
+    """model: the vocabulary file. samples: segmentations of each text. width: of each piece, in ``Lattice`` only. ahead: places a node is split into at a time."""
 
     model: str = "/opt/tokenizers/piece_bpe_32k.model"
     samples: int = 2
@@ -39,17 +43,24 @@ class Settings:
     seed: int = 10
 
 
+def vocabulary(p: sentencepiece.SentencePieceProcessor, s: Settings) -> tuple[dict[str, int], dict[str, float]]:
+    """The ids and log-weights of the pieces that stand for their own characters."""
+    n = p.get_piece_size()
+    plain = [not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i)) for i in range(n)]
+    names = p.id_to_piece(list(range(n)))
+    ids = {names[i]: i for i in range(n) if plain[i]}
+    score = [p.get_score(i) for i in range(n)]
+    return ids, {w: -s.power * float(np.log(10 + (-score[i] if score[i] > -1e8 else 0))) for w, i in ids.items()}
+
+
 class Lattice:
-    """For each piece its segmentations, best first: their log-probabilities, given the piece, and their pieces."""
+    """The refinements of a segmentation: for each piece its ``width`` best segmentations, their log-probabilities, given the
+    piece, and their pieces. The queries use ``WholeLattice``, which shares the search."""
 
     def __init__(self, model: bytes, s: Settings):
         self.processor = p = sentencepiece.SentencePieceProcessor(model_proto=model)
         n, self.s = p.get_piece_size(), s
-        plain = [not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i) or p.is_unused(i)) for i in range(n)]
-        names = p.id_to_piece(list(range(n)))
-        ids = {names[i]: i for i in range(n) if plain[i]}
-        score = [p.get_score(i) for i in range(n)]
-        weight = {w: -s.power * float(np.log(10 + (-score[i] if score[i] > -1e8 else 0))) for w, i in ids.items()}
+        ids, weight = vocabulary(p, s)
         self.logs = np.full((n, s.width), -np.inf)
         self.logs[:, 0] = 0
         parts: list[list[tuple[int, ...]]] = [[(i,)] for i in range(n)]
@@ -84,27 +95,44 @@ class Lattice:
 
         Texts with fewer segmentations give them all; the time of the next is then infinite.
         """
-        s, n = self.s, len(ids)
+
+        def way(base: tuple | None, at: int, choice: int, rng: np.random.Generator) -> tuple:
+            path = self.draw(ids[at + 1 :], rng)
+            if base is not None:
+                path = np.concatenate([base[0][:at], [choice], path])
+            return path, np.concatenate([[0.0], np.cumsum(self.logs[ids, path])]), ids
+
+        search = self._search(key)
+        ask = next(search)
+        while True:
+            try:
+                ask = search.send(way(*ask))
+            except StopIteration as done:
+                found, after = done.value
+                return [(path[0], log_p) for path, log_p in found], after
+
+    def _rows(self, states: np.ndarray) -> np.ndarray:
+        return self.logs[states]
+
+    def _search(self, key: int) -> Generator[tuple, tuple, tuple[list[tuple[tuple, float]], float]]:
+        """Asks for a path that leaves another at a place by a choice (or for any path), and takes its choices, the sums of
+        their log-probabilities before each place, and the places' states."""
+        s = self.s
         rng = np.random.Generator(np.random.SFC64([s.seed & 0xFFFFFFFF, key & 0xFFFFFFFF, key >> 32 & 0xFFFFFFFF]))
-        logs = self.logs[ids]
         # A node: the time of its first path; a number against ties; the path it follows; from where it may leave that path;
         # at which place it has left it already, by which choice (or none).
         start = float(rng.standard_exponential())
         queue: list[tuple] = [(start, 0, None, 0, -1, -1)]
-        out: list[tuple[np.ndarray, float]] = []
+        out: list[tuple[tuple, float]] = []
         number = 1
         while queue and len(out) < s.samples:
             time, _, base, since, at, choice = heapq.heappop(queue)
             if base is not None and at < 0:  # paths that leave ``base`` at ``since`` or later: split by place
-                number = self._split(queue, number, time, base, since, logs, rng)
+                number = self._split(queue, number, time, base, since, rng)
                 continue
-            path = self.draw(ids[at + 1 :], rng)
-            if base is not None:
-                path = np.concatenate([base[0][:at], [choice], path])
-            own = logs[np.arange(n), path]
-            before = np.concatenate([[0.0], np.cumsum(own)])
-            out.append((path, float(before[-1])))
-            number = self._remainder(queue, number, time, (path, before), at + 1, rng)
+            path = yield base, at, choice, rng
+            out.append((path, float(path[1][-1])))
+            number = self._remainder(queue, number, time, path, at + 1, rng)
         return out, float(np.log(queue[0][0])) if queue else np.inf
 
     @staticmethod
@@ -120,11 +148,12 @@ class Lattice:
             heapq.heappush(queue, (time + wait, number, base, since, -1, -1))
         return number + 1
 
-    def _split(self, queue: list, number: int, time: float, base: tuple, since: int, logs: np.ndarray, rng: np.random.Generator) -> int:
+    def _split(self, queue: list, number: int, time: float, base: tuple, since: int, rng: np.random.Generator) -> int:
         """Of the paths that leave base from ``since`` on, one arrives at ``time``; where, is drawn; the rest come later."""
-        path, before = base
+        path, before, states = base[:3]
         until = min(since + self.s.ahead, len(path))
-        rates = before[since:until, None] + logs[since:until]
+        logs = self._rows(states[since:until])
+        rates = before[since:until, None] + logs
         rates[np.arange(until - since), path[since:until]] = -np.inf
         rates = np.append(rates.ravel(), self._left(before, until) if until < len(path) else -np.inf)
         able = np.flatnonzero(rates > -np.inf)
@@ -144,13 +173,217 @@ class Lattice:
         return number
 
 
-def lattice(model: bytes, s: Settings) -> Lattice:
+class WholeLattice(Lattice):
+    """The lattice of all pieces. A state is a character of a segment; its choice k is the piece of k + 1 characters from there.
+
+    Segments are kept as they are met, by the ids of their encoding: ``chances`` of each state's choices, ``cuts`` (their
+    sums; 2 from the last one on) and ``ids`` of the pieces. When there are more than KEPT states, they are built anew.
+    """
+
+    KEPT = 300_000
+    SLOTS = 1 << 18
+
+    def __init__(self, model: bytes, s: Settings):
+        self.processor = p = sentencepiece.SentencePieceProcessor(model_proto=model)
+        n, self.s = p.get_piece_size(), s
+        ids, weight = vocabulary(p, s)
+        names = p.id_to_piece(list(range(n)))
+        codes = {c: k for k, c in enumerate(sorted({c for w in ids for c in w}))}
+        # A piece that is not of characters (a byte, say) is a character by itself.
+        own = [tuple(codes[c] for c in names[i]) if names[i] in ids and ids[names[i]] == i else (len(codes) + i,) for i in range(n)]
+        self.size = len(codes) + n
+        self.flat, self.lengths = np.array([c for x in own for c in x], np.int64), np.array([len(x) for x in own])
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.first, self.last = self.flat[self.offsets], self.flat[self.offsets + self.lengths - 1]
+        self.pairs = np.unique([a * self.size + b for x in own for a, b in zip(x, x[1:], strict=False)]).astype(np.int64)
+        self.meet = np.zeros(1 << 20, bool)  # by the low bits; pairs that only look alike join segments, which changes no probability
+        self.meet[self.pairs & (1 << 20) - 1] = True
+        self.width = max(map(len, own))
+        self._trie(own, [float(np.exp(weight[names[i]])) if len(x) > 1 or x[0] < len(codes) else 1.0 for i, x in enumerate(own)])
+        self._clear()
+
+    def _trie(self, own: list[tuple[int, ...]], weight: list[float]) -> None:
+        """Nodes are slots: the child of a node by a code is at the node's base plus the code, if ``parent`` there is the node."""
+        below: list[dict[int, int]] = [{}]
+        ends = {}
+        for i, x in enumerate(own):
+            node = 0
+            for c in x:
+                if c not in below[node]:
+                    below[node][c] = len(below)
+                    below.append({})
+                node = below[node][c]
+            ends[node] = i
+        slots = max(self.SLOTS, 1 << (4 * len(below)).bit_length())
+        self.base, self.parent = np.zeros(slots + self.size, np.int64), np.full(slots + self.size, -1)
+        self.piece, self.weight = np.full(slots + self.size, -1, np.int32), np.zeros(slots + self.size)
+        # The root is in slot 0 with its children behind it. Nodes with most children go first; their parents may come later.
+        rng, used = np.random.default_rng(1), np.zeros(slots + self.size, bool)
+        used[: self.size + 1] = True
+        bases = {0: 1}
+        for node in sorted(range(1, len(below)), key=lambda k: -len(below[k])):
+            if below[node]:
+                cs = np.array(list(below[node]))
+                while used[(at := int(rng.integers(0, slots))) + cs].any():
+                    pass
+                used[at + cs] = True
+                bases[node] = at
+        slot = {0: 0}
+        for node in range(len(below)):  # parents have smaller numbers
+            if below[node]:
+                self.base[slot[node]] = bases[node]
+                for c, child in below[node].items():
+                    slot[child] = bases[node] + c
+                    self.parent[slot[child]] = slot[node]
+            if node in ends:
+                self.piece[slot[node]], self.weight[slot[node]] = ends[node], weight[ends[node]]
+
+    def _clear(self) -> None:
+        self.known: dict[bytes, int] = defaultdict(count().__next__)
+        self.begin, self.extent = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.states = 0
+        self.chances, self.cuts = np.zeros((0, self.width)), np.zeros((0, self.width))
+        self.ids = np.zeros((0, self.width), np.int32)
+
+    def _room(self, more: int) -> None:
+        if (need := self.states + more) > len(self.ids):
+            room = max(need, min(2 * need, self.KEPT))
+            for name in ("chances", "cuts", "ids"):
+                old = getattr(self, name)
+                new = np.zeros((room, self.width), old.dtype)
+                new[: self.states] = old[: self.states]
+                setattr(self, name, new)
+
+    def segments(self, encoded: list[np.ndarray]) -> list[np.ndarray]:
+        """The numbers of each text's segments; those met first are built, all at once."""
+        if self.states > self.KEPT:
+            self._clear()
+        known, out = self.known, []
+        for ids in encoded:
+            joined = self.meet[self.last[ids[:-1]] * self.size + self.first[ids[1:]] & (1 << 20) - 1]
+            ends = [*(4 * (np.flatnonzero(~joined) + 1)).tolist(), 4 * len(ids)] if len(ids) else []
+            blob = ids.tobytes()
+            out.append(np.array([known[blob[a:b]] for a, b in zip([0, *ends], ends, strict=False)], np.int64))
+        if fresh := list(islice(reversed(known), len(known) - len(self.begin))):
+            self._build(fresh[::-1])
+        return out
+
+    def _build(self, fresh: list[bytes]) -> None:
+        ids = np.frombuffer(b"".join(fresh), np.int32)
+        size = self.lengths[ids]
+        upto = np.cumsum(size)
+        codes = self.flat[np.arange(upto[-1]) + np.repeat(self.offsets[ids] - upto + size, size)]
+        ends = upto[np.cumsum([len(x) // 4 for x in fresh]) - 1]
+        extent = np.diff(ends, prepend=0)
+        n, top = len(codes), self.states
+        self._room(n)
+        weights, pieces = np.zeros((n, self.width)), self.ids[top : top + n]
+        pieces[:] = 0
+        at, end, node = np.arange(n), np.repeat(ends, extent), np.zeros(n, np.int64)
+        self.base[0] = 1
+        for k in range(self.width):
+            child = self.base[node] + codes[at + k]
+            able = self.parent[child] == node
+            at, child, end = at[able], child[able], end[able]
+            weights[at, k], pieces[at, k] = self.weight[child], self.piece[child]
+            more = (at + k + 1 < end) & (self.base[child] > 0)
+            at, node, end = at[more], child[more], end[more]
+            if not len(at):
+                break
+        wide = k + 1  # no piece here is longer
+        weights = np.ascontiguousarray(weights[:, :wide])
+        # Backward through all segments at once, the longest first; sums are held as multiples of the last one.
+        order = np.argsort(-extent, kind="stable")
+        longest, last = extent[order], ends[order]
+        sums = np.zeros((len(order), wide))
+        sums[:, 0] = 1
+        left = np.searchsorted(-longest, -np.arange(1, longest[0] + 1), side="right")
+        for t, m in enumerate(left.tolist(), 1):
+            place = last[:m] - t
+            part = weights[place] * sums[:m]
+            whole = part.sum(1)
+            scale = np.where(whole > 0, whole, 1.0)[:, None]
+            weights[place] = part / scale
+            sums[:m, 1:] = sums[:m, :-1] / scale
+            sums[:m, 0] = whole > 0
+        self.chances[top : top + n, :wide], self.chances[top : top + n, wide:] = weights, 0
+        final = wide - 1 - np.argmax(weights[:, ::-1] > 0, axis=1)
+        cuts = np.cumsum(weights, axis=1, out=weights)
+        cuts[np.arange(wide) >= final[:, None]] = 2
+        self.cuts[top : top + n, :wide], self.cuts[top : top + n, wide:] = cuts, 2
+        self.begin = np.concatenate([self.begin, top + ends - extent])
+        self.extent = np.concatenate([self.extent, extent])
+        self.states += n
+
+    def sample(self, ids: np.ndarray, key: int) -> tuple[list[tuple[np.ndarray, float]], float]:
+        """As in ``Lattice``, with the pieces themselves as paths."""
+        return self.sample_all(self.segments([ids.astype(np.int32)]), [key])[0]
+
+    def sample_all(self, texts: list[np.ndarray], keys: list[int]) -> list[tuple[list[tuple[np.ndarray, float]], float]]:
+        """The samples of texts of these segments, none empty; their paths are drawn side by side, each with its own numbers."""
+        numbers = np.concatenate(texts)
+        extent = self.extent[numbers]
+        ends = np.cumsum(extent)
+        starts = ends - extent
+        states = np.arange(ends[-1]) + np.repeat(self.begin[numbers] - starts, extent)
+        closed = np.zeros(len(states) + 1, bool)
+        closed[starts], closed[-1] = True, True
+        cut = np.cumsum([len(x) for x in texts])
+        own = [starts[a:b] for a, b in zip([0, *cut], cut, strict=False)]
+        bounds = [0, *ends[cut - 1].tolist()]
+        out: list = [None] * len(texts)
+        searches = [self._search(key) for key in keys]
+        asked = [(k, next(x)) for k, x in enumerate(searches)]
+        unit = np.zeros(len(states))
+        while asked:
+            taken, active = np.full(len(states), -1, np.int16), []
+            for k, (base, at, choice, rng) in asked:
+                since = bounds[k]
+                if base is None:
+                    active.append(own[k])
+                else:
+                    place = base[3][at]
+                    taken[base[3][:at]], taken[place] = base[0][:at], choice
+                    since = place + choice + 1
+                    active.append(own[k][np.searchsorted(own[k], place, side="right") :])
+                    if not closed[since]:
+                        active.append(np.array([since]))
+                unit[since : bounds[k + 1]] = rng.random(bounds[k + 1] - since)
+            now = np.concatenate(active)
+            while len(now):  # all segments a step at a time
+                drawn = (unit[now, None] < self.cuts[states[now]]).argmax(1)
+                taken[now] = drawn
+                now = now + drawn + 1
+                now = now[~closed[now]]
+            places = np.flatnonzero(taken >= 0)
+            path, at_ = taken[places].astype(np.int64), states[places]
+            logs = np.log(self.chances[at_, path])
+            edges = np.searchsorted(places, bounds).tolist()
+            again = []
+            for k, _ in asked:
+                a, b = edges[k], edges[k + 1]
+                before = np.zeros(b - a + 1)
+                np.cumsum(logs[a:b], out=before[1:])
+                try:
+                    again.append((k, searches[k].send((path[a:b], before, at_[a:b], places[a:b]))))
+                except StopIteration as done:
+                    found, after = done.value
+                    out[k] = [(self.ids[way[2], way[0]], log_p) for way, log_p in found], after
+            asked = again
+        return out
+
+    def _rows(self, states: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):
+            return np.log(self.chances[states])
+
+
+def lattice(model: bytes, s: Settings) -> WholeLattice:
     """Built once in each worker. Kept beside the interpreter, since these functions travel by value, anew for each task."""
     kept = vars(sys).setdefault("_webloom_lattices", {})
     key = (hashlib.sha256(model).digest(), repr(s))
     if key not in kept:
         kept.clear()
-        kept[key] = Lattice(model, s)
+        kept[key] = WholeLattice(model, s)
     return kept[key]
 
 
@@ -168,6 +401,24 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
+#: Pieces of the texts whose segments are built at once.
+TOGETHER = 1 << 16
+
+
+def sampled_texts(own: WholeLattice, keys: list, texts: list[str]) -> Iterator[tuple]:
+    """Each key and text with its encoding and its samples."""
+    held, n = [], 0
+    for k, (key, text) in enumerate(zip(keys, texts, strict=True)):
+        held.append((key, text, np.array(own.processor.encode(text, num_threads=1), np.int32)))
+        n += len(held[-1][2])
+        if k == len(texts) - 1 or n >= TOGETHER:
+            some = [x for x in held if len(x[2])]
+            drawn = iter(own.sample_all(own.segments([x[2] for x in some]), [row_key(x[0]) for x in some]) if some else [])
+            for row, t, ids in held:
+                yield row, t, ids, next(drawn) if len(ids) else ([], np.inf)
+            held, n = [], 0
+
+
 def encoder(model: bytes, s: Settings, carry: list[str], with_ids: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = lattice(model, s)
@@ -175,10 +426,8 @@ def encoder(model: bytes, s: Settings, carry: list[str], with_ids: bool):
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 out: dict[str, list] = {k: [] for k in ("n_pieces", "ids_sha256", "round_trip", "sample_pieces", "sample_sha256", "sample_log_prob", "sample_log_inclusion", "ids", "sample_ids")}
-                for row, text in zip(batch.column("_key").to_pylist(), strings(batch.column("_text")), strict=True):
-                    ids = np.array(own.processor.encode(text, num_threads=1), np.int32)
-                    found, after = own.sample(ids, row_key(row)) if len(ids) else ([], np.inf)
-                    sampled = [own.pieces(ids, path) for path, _ in found]
+                for row, text, ids, (found, after) in sampled_texts(own, batch.column("_key").to_pylist(), strings(batch.column("_text"))):
+                    sampled = [x for x, _ in found]
                     out["n_pieces"].append(len(ids))
                     out["ids_sha256"].append(digest(ids))
                     out["round_trip"].append(own.processor.decode(ids.tolist()) == text)
