@@ -73,6 +73,14 @@ def test_fingerprints(spark, odd, none):
     assert one["near_next"] == 1.0
 
 
+def test_fingerprint_of_one_word_many_times(spark):
+    """All terms of a run vote alike, in the top lane too; the fingerprint is that of the term."""
+    texts = [" ".join(w for _ in range(40_000)) for w in ("aa", "ab", "ac", "ad")] + [f"{w} {w}" for w in ("aa", "ab", "ac", "ad")]
+    rows = simhash.fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    prints = {r["doc_id"]: r["fingerprint"] for r in rows}
+    assert all(prints[k] == prints[k + 4] for k in range(4)) and len(set(prints.values())) == 4
+
+
 def test_likeness_follows_edits(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars > 600")
     rows = simhash.fingerprint_documents(docs).collect()

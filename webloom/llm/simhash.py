@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from webloom.llm.common import SPACE, durable
 
-#: Terms of a run: the votes for a bit fit in a lane.
-RUN = 1 << 15
+#: Terms of a run: the votes for a bit fit in a lane. The top lane also holds the sign, so 2^15 would be one too many.
+RUN = 1 << 14
 LANES, WIDTH = 4, 16
 #: Bits come from two hashes of a term.
 SEEDS = ("a", "b")
