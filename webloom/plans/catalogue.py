@@ -22,6 +22,8 @@ from webloom.streaming import folds
 TABLES = ("pages", "documents", "events", "conversations", "region", "benchmark")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: What queries were registered with, for their whole forms.
+PARTS: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {}
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -40,11 +42,18 @@ def wide(df: DataFrame) -> DataFrame:
 
 def query(name: str, source: str, build: Callable[[DataFrame], DataFrame], oracle: str | None = None) -> None:
     """Register: ``build`` over the input that ``source`` derives; ``oracle`` reads the same input as ``src``."""
+    PARTS[name] = source, build, oracle
     QUERIES[name] = lambda spark, sf_dir: wide(build(derive(spark, sf_dir, source)))
     if oracle is not None:
         ORACLES[name] = f"WITH src AS ({plain(source)}) {oracle}"
 
 
+def whole(name: str, cut: str, text_: str, build: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Register a query once more, with whole texts in place of their beginnings."""
+    source, own, oracle = PARTS[name]
+    query(f"{name}_whole", source.replace(cut, text_), build or own, oracle and oracle.replace(cut, text_))
+
+
 def contains_any(column: str, parts: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({column}, '{p}')" for p in parts) + ")" if parts else "FALSE"
 
@@ -437,3 +446,10 @@ query("tool_envelope", "SELECT conv_id, turn, role AS t FROM {conversations}", l
 query("render_page", PAGES, lambda d: d.select("page_id", render.page_block(F.lit("T"), "url", F.lit("now"), F.col("page_id"), F.left("html", F.lit(50))).alias("block")), "SELECT page_id, '# T' || chr(10) || chr(10) || '**URL:** ' || url || chr(10) || '**Fetched:** now' || chr(10) || '**Words:** ' || page_id || chr(10) || chr(10) || '---' || chr(10) || chr(10) || left(html, 50) AS block FROM src")
 query("render_results", RESULTS, lambda d: d.select("doc_id", F.concat(render.search_header("title", "query_id", F.lit("wt-wt")), render.search_result("pos", "title", "url", F.left("description", F.lit(20)), "source", "content_type")).alias("shown")), "SELECT doc_id, chr(10) || 'Search Results for: ' || title || chr(10) || repeat('=', 50) || chr(10) || 'Found ' || query_id || ' results in region ''wt-wt''' || chr(10) || chr(10) || pos || '. ' || title || chr(10) || '   URL: ' || url || chr(10) || '   ' || left(description, 20) || chr(10) || '   Source: ' || source || ' | Type: Article' || chr(10) || chr(10) AS shown FROM src")
 query("result_json", RESULTS, lambda d: render.as_json(d.select("doc_id", "url", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("source"))), """SELECT '{"doc_id":' || doc_id || ',"url":"' || url || '"' || CASE WHEN doc_id % 2 = 0 THEN ',"source":"' || source || '"' ELSE '' END || '}' AS value FROM src""")
+
+# ---- the operators above that take the beginning of a text, with all of it
+
+whole("clean_text", "left(text, 120)", "text")
+whole("clean_markdown", "left(text, 300)", "text")
+whole("render_page", "left(html, 50)", "html", lambda d: d.select("page_id", render.page_block(F.lit("T"), "url", F.lit("now"), F.col("page_id"), F.col("html")).alias("block")))
+whole("render_results", "left(description, 20)", "description", lambda d: d.select("doc_id", F.concat(render.search_header("title", "query_id", F.lit("wt-wt")), render.search_result("pos", "title", "url", F.col("description"), "source", "content_type")).alias("shown")))
