@@ -453,3 +453,21 @@ whole("clean_text", "left(text, 120)", "text")
 whole("clean_markdown", "left(text, 300)", "text")
 whole("render_page", "left(html, 50)", "html", lambda d: d.select("page_id", render.page_block(F.lit("T"), "url", F.lit("now"), F.col("page_id"), F.col("html")).alias("block")))
 whole("render_results", "left(description, 20)", "description", lambda d: d.select("doc_id", F.concat(render.search_header("title", "query_id", F.lit("wt-wt")), render.search_result("pos", "title", "url", F.col("description"), "source", "content_type")).alias("shown")))
+
+# ---- look-ups of all rows against all entries
+
+WHOLE_SPARSE = """SELECT doc_id, doc_id % 40 AS query_id, CAST(row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS INT) AS rank, 'https://r.example/' || CAST(doc_id * 2 AS STRING) AS url, left(text, CAST(doc_id % 200 AS INT)) AS description FROM {documents}"""
+WHOLE_PAGES = "SELECT 'https://r.example/' || CAST(doc_id AS STRING) AS url, min(left(text, 300)) AS page FROM {documents} GROUP BY doc_id"
+query(
+    "enrich_sparse_whole",
+    f"SELECT s.*, NULL AS page FROM ({WHOLE_SPARSE}) AS s UNION ALL SELECT NULL, NULL, NULL, 'https://r.example/' || CAST(doc_id AS STRING), NULL, text FROM {{documents}}",
+    lambda d: merge.enrich(d.filter("rank IS NOT NULL").drop("page"), d.filter("rank IS NULL").select("url", F.col("page").alias("content"))),
+    f", p AS ({plain(WHOLE_PAGES)}) SELECT doc_id, query_id, rank::BIGINT AS rank, url, CASE WHEN rank <= 3 AND strlen(description) < 100 AND p.page IS NOT NULL THEN p.page ELSE description END AS description FROM src LEFT JOIN p USING (url) WHERE rank IS NOT NULL",
+)
+ENTRIES = "SELECT CASE WHEN event_id % 3 = 0 THEN 'page:' ELSE 'search:' END || event_type AS key, t, event_id AS n, event_type <> 'error' AS stored FROM {events}"
+state(
+    "cache_lookup_whole",
+    ENTRIES,
+    lambda d: folds.looked_up(d.drop("stored"), d.filter("stored").select("key", (F.col("t") - 50 * HOUR).alias("stored_at")), ttl=100 * HOUR),
+    f", e AS (SELECT key, max(t) - {50 * HOUR} AS s FROM src WHERE stored GROUP BY key) SELECT src.key, t, n, coalesce(t >= s AND t - s < {100 * HOUR}, FALSE) AS hit FROM src LEFT JOIN e USING (key)",
+)
