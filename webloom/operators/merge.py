@@ -64,10 +64,10 @@ def enrich(rows: DataFrame, pages: DataFrame, key: str = "query_id") -> DataFram
 
     Only those rows meet the pages, and pages meet each URL once.
     """
-    sparse = (F.col("rank") <= rules.SPARSE_ROWS) & text.is_sparse("description")
+    sparse = F.coalesce((F.col("rank") <= rules.SPARSE_ROWS) & text.is_sparse("description"), F.lit(False))
     snippets = pages.filter(F.col("content").isNotNull()).groupBy("url").agg(F.min(text.snippet("content")).alias("_snippet"))
-    out = rows.join(snippets, "url", "left")
-    return out.withColumn("description", F.when(sparse & F.col("_snippet").isNotNull(), F.col("_snippet")).otherwise(F.col("description"))).select(*rows.columns)
+    met = rows.filter(sparse).join(snippets, "url", "left").withColumn("description", F.coalesce("_snippet", "description"))
+    return met.select(*rows.columns).unionByName(rows.filter(~sparse))
 
 
 def topics(rows: DataFrame, key: str = "query_id") -> DataFrame:

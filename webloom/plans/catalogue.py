@@ -22,8 +22,6 @@ from webloom.streaming import folds
 TABLES = ("pages", "documents", "events", "conversations", "region", "benchmark")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: What queries were registered with, for their whole forms.
-PARTS: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {}
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -42,18 +40,11 @@ def wide(df: DataFrame) -> DataFrame:
 
 def query(name: str, source: str, build: Callable[[DataFrame], DataFrame], oracle: str | None = None) -> None:
     """Register: ``build`` over the input that ``source`` derives; ``oracle`` reads the same input as ``src``."""
-    PARTS[name] = source, build, oracle
     QUERIES[name] = lambda spark, sf_dir: wide(build(derive(spark, sf_dir, source)))
     if oracle is not None:
         ORACLES[name] = f"WITH src AS ({plain(source)}) {oracle}"
 
 
-def whole(name: str, cut: str, text_: str, build: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Register a query once more, with whole texts in place of their beginnings."""
-    source, own, oracle = PARTS[name]
-    query(f"{name}_whole", source.replace(cut, text_), build or own, oracle and oracle.replace(cut, text_))
-
-
 def contains_any(column: str, parts: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({column}, '{p}')" for p in parts) + ")" if parts else "FALSE"
 
@@ -152,14 +143,14 @@ query("word_count", "SELECT doc_id, text FROM {documents}", lambda d: d.select("
 query("snippets", "SELECT doc_id, text FROM {documents}", lambda d: d.select("doc_id", text.is_sparse("text").alias("sparse"), text.snippet("text").alias("snippet")), "SELECT doc_id, strlen(text) < 100 AS sparse, left(text, 300) AS snippet FROM src")
 query(
     "clean_text",
-    "SELECT doc_id, '&lt;b&gt; ' || left(text, 120) || ' &amp;lt; &#x27;q&#x27;  &nbsp;&#x41;&#xe9; &quot;' AS t FROM {documents}",
+    "SELECT doc_id, '&lt;b&gt; ' || text || ' &amp;lt; &#x27;q&#x27;  &nbsp;&#x41;&#xe9; &quot;' AS t FROM {documents}",
     lambda d: d.select("doc_id", text.clean_text("t").alias("t")),
     "SELECT doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&#x27;', ''''), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&#x41;', 'A'), '&#xe9;', 'é'), '\\s+', ' ', 'g')) AS t FROM src",
 )
 query("clean_title", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Page Title | Site' WHEN 1 THEN ' a - | b' WHEN 2 THEN 'x :: y — z' WHEN 3 THEN 'p — q | r - s' ELSE 'plain|title' END AS title FROM {pages}", lambda d: d.select("page_id", text.clean_title("title").alias("title")), "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Page Title' WHEN 1 THEN 'a -' WHEN 2 THEN 'x' WHEN 3 THEN 'p' ELSE 'plain|title' END AS title FROM src")
 query(
     "clean_markdown",
-    "SELECT doc_id, '# T' || chr(10) || chr(10) || chr(10) || '  - ' || chr(10) || '*' || chr(10) || left(text, 300) || chr(10) || '   ' || chr(10) || chr(10) || '    code' || chr(10) AS m FROM {documents}",
+    "SELECT doc_id, '# T' || chr(10) || chr(10) || chr(10) || '  - ' || chr(10) || '*' || chr(10) || text || chr(10) || '   ' || chr(10) || chr(10) || '    code' || chr(10) AS m FROM {documents}",
     lambda d: d.select("doc_id", text.clean_markdown("m").alias("m")),
     "SELECT doc_id, trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(m, chr(10)), lambda x: trim(x)), lambda x: x NOT IN ('-', '*', '+')), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS m FROM src",
 )
@@ -263,12 +254,13 @@ query(
 )
 query("interleave_merge", RESULTS, lambda d: merge.merge(d.select(*MERGE_COLUMNS, "doc_id"), 1000).select("query_id", "rank", "url", "doc_id", "source"), ", " + LISTS + " SELECT query_id, i AS rank, m[i].u AS url, m[i].d AS doc_id, m[i].s AS source FROM (SELECT query_id, m, unnest(range(1, len(m) + 1)) AS i FROM merged)")
 query("interleave_topk", RESULTS, lambda d: merge.merge(d.select(*MERGE_COLUMNS), 10).select("query_id", "rank", "url"), ", " + LISTS + " SELECT query_id, i AS rank, m[i].u AS url FROM (SELECT query_id, m, unnest(range(1, least(10, len(m)) + 1)) AS i FROM merged)")
-SPARSE = """SELECT doc_id, doc_id % 40 AS query_id, CAST(row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS INT) AS rank, 'https://r.example/' || CAST(doc_id % 60 AS STRING) AS url, left(text, CAST(doc_id % 200 AS INT)) AS description FROM {documents}"""
+SPARSE = """SELECT doc_id, doc_id % 40 AS query_id, CAST(row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS INT) AS rank, 'https://r.example/' || CAST(doc_id * 2 AS STRING) AS url, left(text, CAST(doc_id % 200 AS INT)) AS description FROM {documents}"""
+SNIPPETS = "SELECT 'https://r.example/' || CAST(doc_id AS STRING) AS url, min(left(text, 300)) AS page FROM {documents} GROUP BY doc_id"
 query(
     "enrich_sparse",
-    f"SELECT s.*, p.text AS page FROM ({SPARSE}) AS s LEFT JOIN (SELECT 'https://r.example/' || CAST(doc_id AS STRING) AS url, text FROM {{documents}} WHERE doc_id < 50) AS p ON s.url = p.url",
-    lambda d: merge.enrich(d.drop("page"), d.filter("page IS NOT NULL").select("url", F.col("page").alias("content"))),
-    "SELECT doc_id, query_id, rank::BIGINT AS rank, url, CASE WHEN rank <= 3 AND strlen(description) < 100 AND page IS NOT NULL THEN left(page, 300) ELSE description END AS description FROM src",
+    f"SELECT s.*, NULL AS page FROM ({SPARSE}) AS s UNION ALL SELECT NULL, NULL, NULL, 'https://r.example/' || CAST(doc_id AS STRING), NULL, text FROM {{documents}}",
+    lambda d: merge.enrich(d.filter("rank IS NOT NULL").drop("page"), d.filter("rank IS NULL").select("url", F.col("page").alias("content"))),
+    f", p AS ({plain(SNIPPETS)}) SELECT doc_id, query_id, rank::BIGINT AS rank, url, CASE WHEN rank <= 3 AND strlen(description) < 100 AND p.page IS NOT NULL THEN p.page ELSE description END AS description FROM src LEFT JOIN p USING (url) WHERE rank IS NOT NULL",
 )
 
 
@@ -407,7 +399,13 @@ CACHED = """, arr AS (SELECT key, list({'t': t, 'n': n} ORDER BY t, n) AS e FROM
   rows_ AS (SELECT key, r.n AS n, r.t AS t, r.h AS hit, r.s AS stored_at FROM (SELECT key, unnest(s.r) AS r FROM folded) WHERE r.n >= 0)"""
 state("cache_hits", REQUESTS, lambda d: folds.cache(d), CACHED + " SELECT * FROM rows_")
 state("cache_stats", REQUESTS, lambda d: folds.cache_stats(folds.cache(d), 1704500000000000, HOUR), CACHED + f", live AS (SELECT DISTINCT key FROM rows_ WHERE stored_at <= 1704500000000000 AND 1704500000000000 - stored_at < {HOUR}), n AS (SELECT count(*) FILTER (WHERE key LIKE 'search:%') AS s, count(*) FILTER (WHERE key LIKE 'page:%') AS p FROM live) SELECT s AS search_entries, p AS page_entries, TRUE AS enabled, 'Cache Stats: ' || s || ' search entries, ' || p || ' page entries (enabled: true)' AS line FROM n")
-state("cache_lookup", REQUESTS, lambda d: folds.looked_up(d.filter("n % 2 = 0"), d.filter("n % 97 = 1").select("key", F.col("t").alias("stored_at")), ttl=100 * HOUR), f", e AS (SELECT key, max(t) AS s FROM src WHERE n % 97 = 1 GROUP BY key) SELECT src.key, t, n, coalesce(t >= s AND t - s < {100 * HOUR}, FALSE) AS hit FROM src LEFT JOIN e USING (key) WHERE n % 2 = 0")
+ENTRIES = "SELECT CASE WHEN event_id % 3 = 0 THEN 'page:' ELSE 'search:' END || event_type AS key, t, event_id AS n, event_type <> 'error' AS stored FROM {events}"
+state(
+    "cache_lookup",
+    ENTRIES,
+    lambda d: folds.looked_up(d.drop("stored"), d.filter("stored").select("key", (F.col("t") - 50 * HOUR).alias("stored_at")), ttl=100 * HOUR),
+    f", e AS (SELECT key, max(t) - {50 * HOUR} AS s FROM src WHERE stored GROUP BY key) SELECT src.key, t, n, coalesce(t >= s AND t - s < {100 * HOUR}, FALSE) AS hit FROM src LEFT JOIN e USING (key)",
+)
 
 # ---- requests, made of conversations
 
@@ -443,31 +441,6 @@ query("tool_envelope", "SELECT conv_id, turn, role AS t FROM {conversations}", l
 
 # ---- rendering
 
-query("render_page", PAGES, lambda d: d.select("page_id", render.page_block(F.lit("T"), "url", F.lit("now"), F.col("page_id"), F.left("html", F.lit(50))).alias("block")), "SELECT page_id, '# T' || chr(10) || chr(10) || '**URL:** ' || url || chr(10) || '**Fetched:** now' || chr(10) || '**Words:** ' || page_id || chr(10) || chr(10) || '---' || chr(10) || chr(10) || left(html, 50) AS block FROM src")
-query("render_results", RESULTS, lambda d: d.select("doc_id", F.concat(render.search_header("title", "query_id", F.lit("wt-wt")), render.search_result("pos", "title", "url", F.left("description", F.lit(20)), "source", "content_type")).alias("shown")), "SELECT doc_id, chr(10) || 'Search Results for: ' || title || chr(10) || repeat('=', 50) || chr(10) || 'Found ' || query_id || ' results in region ''wt-wt''' || chr(10) || chr(10) || pos || '. ' || title || chr(10) || '   URL: ' || url || chr(10) || '   ' || left(description, 20) || chr(10) || '   Source: ' || source || ' | Type: Article' || chr(10) || chr(10) AS shown FROM src")
+query("render_page", PAGES, lambda d: d.select("page_id", render.page_block(F.lit("T"), "url", F.lit("now"), F.col("page_id"), "html").alias("block")), "SELECT page_id, '# T' || chr(10) || chr(10) || '**URL:** ' || url || chr(10) || '**Fetched:** now' || chr(10) || '**Words:** ' || page_id || chr(10) || chr(10) || '---' || chr(10) || chr(10) || html AS block FROM src")
+query("render_results", RESULTS, lambda d: d.select("doc_id", F.concat(render.search_header("title", "query_id", F.lit("wt-wt")), render.search_result("pos", "title", "url", "description", "source", "content_type")).alias("shown")), "SELECT doc_id, chr(10) || 'Search Results for: ' || title || chr(10) || repeat('=', 50) || chr(10) || 'Found ' || query_id || ' results in region ''wt-wt''' || chr(10) || chr(10) || pos || '. ' || title || chr(10) || '   URL: ' || url || chr(10) || '   ' || description || chr(10) || '   Source: ' || source || ' | Type: Article' || chr(10) || chr(10) AS shown FROM src")
 query("result_json", RESULTS, lambda d: render.as_json(d.select("doc_id", "url", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("source"))), """SELECT '{"doc_id":' || doc_id || ',"url":"' || url || '"' || CASE WHEN doc_id % 2 = 0 THEN ',"source":"' || source || '"' ELSE '' END || '}' AS value FROM src""")
-
-# ---- the operators above that take the beginning of a text, with all of it
-
-whole("clean_text", "left(text, 120)", "text")
-whole("clean_markdown", "left(text, 300)", "text")
-whole("render_page", "left(html, 50)", "html", lambda d: d.select("page_id", render.page_block(F.lit("T"), "url", F.lit("now"), F.col("page_id"), F.col("html")).alias("block")))
-whole("render_results", "left(description, 20)", "description", lambda d: d.select("doc_id", F.concat(render.search_header("title", "query_id", F.lit("wt-wt")), render.search_result("pos", "title", "url", F.col("description"), "source", "content_type")).alias("shown")))
-
-# ---- look-ups of all rows against all entries
-
-WHOLE_SPARSE = """SELECT doc_id, doc_id % 40 AS query_id, CAST(row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS INT) AS rank, 'https://r.example/' || CAST(doc_id * 2 AS STRING) AS url, left(text, CAST(doc_id % 200 AS INT)) AS description FROM {documents}"""
-WHOLE_PAGES = "SELECT 'https://r.example/' || CAST(doc_id AS STRING) AS url, min(left(text, 300)) AS page FROM {documents} GROUP BY doc_id"
-query(
-    "enrich_sparse_whole",
-    f"SELECT s.*, NULL AS page FROM ({WHOLE_SPARSE}) AS s UNION ALL SELECT NULL, NULL, NULL, 'https://r.example/' || CAST(doc_id AS STRING), NULL, text FROM {{documents}}",
-    lambda d: merge.enrich(d.filter("rank IS NOT NULL").drop("page"), d.filter("rank IS NULL").select("url", F.col("page").alias("content"))),
-    f", p AS ({plain(WHOLE_PAGES)}) SELECT doc_id, query_id, rank::BIGINT AS rank, url, CASE WHEN rank <= 3 AND strlen(description) < 100 AND p.page IS NOT NULL THEN p.page ELSE description END AS description FROM src LEFT JOIN p USING (url) WHERE rank IS NOT NULL",
-)
-ENTRIES = "SELECT CASE WHEN event_id % 3 = 0 THEN 'page:' ELSE 'search:' END || event_type AS key, t, event_id AS n, event_type <> 'error' AS stored FROM {events}"
-state(
-    "cache_lookup_whole",
-    ENTRIES,
-    lambda d: folds.looked_up(d.drop("stored"), d.filter("stored").select("key", (F.col("t") - 50 * HOUR).alias("stored_at")), ttl=100 * HOUR),
-    f", e AS (SELECT key, max(t) - {50 * HOUR} AS s FROM src WHERE stored GROUP BY key) SELECT src.key, t, n, coalesce(t >= s AND t - s < {100 * HOUR}, FALSE) AS hit FROM src LEFT JOIN e USING (key)",
-)

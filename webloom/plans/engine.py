@@ -67,4 +67,6 @@ class Engine:
         info = F.to_json(F.struct(F.lit("2024-11-05").alias("protocolVersion"), F.array(F.lit("tools")).alias("capabilities")))
         listed = F.to_json(F.struct(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(d).alias("description")) for n, d, _ in requests.TOOLS)).alias("tools")))
         result = F.when(F.col("action") == "call:fetch", requests.envelope(shown, F.col("_error").isNotNull())).when(F.col("action") == "info", info).when(F.col("action") == "tools", listed)
+        other = F.concat(F.when(F.col("action") == "call:search", "Search failed: ").otherwise("Crawl failed: "), F.lit("requests of this kind are not answered line by line; use search or crawl"))
+        result = result.when(F.col("action").isin("call:search", "call:crawl"), requests.envelope(other, True))
         return requests.response_lines(out.withColumn("result", result)).select("line", "response")

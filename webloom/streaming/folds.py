@@ -7,6 +7,8 @@ before, so an array is as long as such a stretch and not as a key's whole past.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,30 @@ def gathered(events: DataFrame, key: str, fresh: Column, *fields: str) -> DataFr
     return cut.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct("t", "n", *fields))).alias("_e"))
 
 
+#: Events of a piece, whose rows are appended one by one.
+PIECE = 64
+
+
+def replayed(stretches: DataFrame, key: str, start: Column, moved: Callable[[Column, Column], Column], row: Callable[[Column, Column], Column]) -> DataFrame:
+    """key and _r, ``row(state before, event)`` of every event. ``moved`` is the state after an event.
+
+    A stretch is passed through once for the states at the starts of its pieces; then each piece is passed through by
+    itself for its rows, so that appending costs no more than a piece's length.
+    """
+    event, state = F.col("_p.e"), F.col("_p.s")
+    count = F.ceil(F.size("_e") / PIECE).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice("_e", i * PIECE + 1, F.lit(PIECE)))
+    kind = stretches.select(start.alias("s"), cut.alias("c"))
+    none = F.array().cast(f"array<struct<s:{kind.schema['s'].dataType.simpleString()},e:{kind.schema['c'].dataType.elementType.simpleString()}>>")
+    whole = F.struct(start.alias("s"), none.alias("out"))
+    pass_ = lambda a, piece: F.struct(F.aggregate(piece, a["s"], moved).alias("s"), F.concat(a["out"], F.array(F.struct(a["s"].alias("s"), piece.alias("e")))).alias("out"))
+    pieces = stretches.select(key, F.explode(F.aggregate(cut, whole, pass_, lambda a: a["out"])).alias("_p"))
+    shape = pieces.select(F.transform(event, lambda e: row(state, e)).alias("r")).schema["r"].dataType.simpleString()
+    own = F.struct(state.alias("s"), F.array().cast(shape).alias("out"))
+    step = lambda a, e: F.struct(moved(a["s"], e).alias("s"), F.concat(a["out"], F.array(row(a["s"], e))).alias("out"))
+    return pieces.select(key, F.explode(F.aggregate(event, own, step, lambda a: a["out"])).alias("_r"))
+
+
 def success(ok: Column, results: Column) -> Column:
     """What an outcome means for health: true, false, or null for an empty answer, which changes nothing."""
     return F.when(~ok, False).when(results > 0, True)
@@ -35,17 +61,21 @@ def breaker(events: DataFrame, key: str = "backend", failures: int = rules.BREAK
     are admitted again, until one fails, which opens it anew, or succeeds, which closes it. A success after a pause
     of ``cooldown`` is thus admitted and leaves nothing behind: a stretch begins with it.
     """
-    start = F.struct(F.lit(0).alias("c"), F.lit(False).alias("o"), F.lit(0).cast("long").alias("f"), F.array().cast("array<struct<n:bigint,t:bigint,a:boolean,c:int,o:boolean>>").alias("out"))
+    start = F.struct(F.lit(0).alias("c"), F.lit(False).alias("o"), F.lit(0).cast("long").alias("f"))
 
-    def step(s: Column, e: Column) -> Column:
+    def moved(s: Column, e: Column) -> Column:
         admitted = ~s["o"] | (e["t"] - s["f"] >= cooldown)
         good, bad = admitted & F.coalesce(e["ok"], F.lit(False)), admitted & F.coalesce(~e["ok"], F.lit(False))
         c = F.when(good, 0).when(bad, s["c"] + 1).otherwise(s["c"])
         o = F.when(good, False).when(bad & (s["c"] + 1 >= failures), True).otherwise(s["o"])
-        row = F.struct(e["n"].cast("long").alias("n"), e["t"].alias("t"), admitted.alias("a"), c.alias("c"), o.alias("o"))
-        return F.struct(c.alias("c"), o.alias("o"), F.when(bad, e["t"]).otherwise(s["f"]).alias("f"), F.concat(s["out"], F.array(row)).alias("out"))
+        return F.struct(c.alias("c"), o.alias("o"), F.when(bad, e["t"]).otherwise(s["f"]).alias("f"))
+
+    def row(s: Column, e: Column) -> Column:
+        after = moved(s, e)
+        return F.struct(e["n"].cast("long").alias("n"), e["t"].alias("t"), (~s["o"] | (e["t"] - s["f"] >= cooldown)).alias("a"), after["c"].alias("c"), after["o"].alias("o"))
 
-    rows = gathered(events, key, F.col("ok") & (F.col("t") - F.col("_t") >= cooldown), "ok").select(key, F.explode(F.aggregate("_e", start, step, lambda s: s["out"])).alias("_r"))
+    stretches = gathered(events, key, F.col("ok") & (F.col("t") - F.col("_t") >= cooldown), "ok")
+    rows = replayed(stretches, key, start, moved, row)
     return rows.select(key, F.col("_r.n").alias("n"), F.col("_r.t").alias("t"), F.col("_r.a").alias("admitted"), F.col("_r.c").alias("failures_after"), F.col("_r.o").alias("open_after"))
 
 
@@ -84,15 +114,11 @@ def page_key(url: Column, selector: Column) -> Column:
 def cache(events: DataFrame, key: str = "key", ttl: int = rules.CACHE_TTL, enabled: bool = True) -> DataFrame:
     """From requests (key, t, n): key, n, t, hit, stored_at. An entry lives for ``ttl`` from when it was stored, whatever reads it;
     a miss stores. Without ``enabled`` nothing is stored. A request ``ttl`` after the one before misses: a stretch begins."""
-    start = F.struct(F.lit(None).cast("long").alias("s"), F.array().cast("array<struct<n:bigint,t:bigint,h:boolean,s:bigint>>").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        hit = F.coalesce(e["t"] - s["s"] < ttl, F.lit(False)) & F.lit(enabled)
-        stored = F.when(hit, s["s"]).otherwise(F.when(F.lit(enabled), e["t"]))
-        row = F.struct(e["n"].cast("long").alias("n"), e["t"].alias("t"), hit.alias("h"), stored.alias("s"))
-        return F.struct(stored.alias("s"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    rows = gathered(events, key, F.col("t") - F.col("_t") >= ttl).select(key, F.explode(F.aggregate("_e", start, step, lambda s: s["out"])).alias("_r"))
+    start = F.struct(F.lit(None).cast("long").alias("s"))
+    hit = lambda s, e: F.coalesce(e["t"] - s["s"] < ttl, F.lit(False)) & F.lit(enabled)
+    moved = lambda s, e: F.struct(F.when(hit(s, e), s["s"]).otherwise(F.when(F.lit(enabled), e["t"])).alias("s"))
+    row = lambda s, e: F.struct(e["n"].cast("long").alias("n"), e["t"].alias("t"), hit(s, e).alias("h"), moved(s, e)["s"].alias("s"))
+    rows = replayed(gathered(events, key, F.col("t") - F.col("_t") >= ttl), key, start, moved, row)
     return rows.select(key, F.col("_r.n").alias("n"), F.col("_r.t").alias("t"), F.col("_r.h").alias("hit"), F.col("_r.s").alias("stored_at"))
 
 
