@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import durable
+from webloom.llm.common import durable, tidy
 
 
 def unite(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,6 +35,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, low = unite(b.column("a").to_numpy(), b.column("b").to_numpy())
         far = nodes != low
         yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(low[far])], names=["a", "b"])
+    tidy()
 
 
 def components(edges: DataFrame) -> DataFrame:

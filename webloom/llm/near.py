@@ -6,9 +6,9 @@ permutation's rank there plus a fraction: ranks of one element differ from place
 variance, and once every place holds a value below the next rank, no element can improve one (early stop).
 Places are cut into bands; nodes that agree in a band share a bucket. In a bucket, nodes are tied to leaders
 by the likeness of one-byte sketches: whoever resembles no leader by NEAR becomes one, and all are tied to
-every leader they resemble by FAR. The likeness being a distance, two linked nodes are then tied to a
-common leader. The ties' components, each in one task or, if large, in tiles of bounded pieces, are
-compared on full sets; the links found are united by union-find.
+every leader they resemble by ``Settings.far``. What sketches lack in likeness is a distance, so two nodes
+whose sketches show their link are tied to a common leader. The ties' components, each in one task or, if large,
+in tiles of bounded pieces, are compared on full sets; the links found are united by union-find.
 """
 
 from __future__ import annotations
@@ -20,17 +20,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.common import LOWER_BYTES, durable, parts_for, tidy, utf8
 from webloom.llm.graphs import components, unite
 
-#: A leader covers nodes that resemble it this much; nodes are tied to leaders they resemble that much. With links of
-#: 0.8 and more, NEAR + 0.8 - 1 is above FAR by a tenth or more: over twice a sketch's usual error.
-NEAR, FAR = 0.72, 0.42
-#: Ties broadcast at most; more are joined by shuffling.
-BROADCAST_ROWS = 500_000
+#: A leader covers nodes that resemble it this much.
+NEAR = 0.8
+#: Nodes with the places they are compared in that are broadcast at most; more are joined by shuffling.
+BROADCAST_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -48,6 +47,13 @@ class Settings:
     def length(self) -> int:
         return self.bands * self.places
 
+    @property
+    def far(self) -> float:
+        """How much nodes resemble the leaders they are tied to. If a leader covers one of two linked nodes and their sketches
+        are as like as the link asks for, the other resembles it by NEAR + link - 1; four usual errors of a sketch are granted."""
+        link = self.percent / 100
+        return NEAR + link - 1 - 4 * (link * (1 - link) / self.length) ** 0.5
+
 
 def stirred(x: np.ndarray, salt: int) -> np.ndarray:
     """A 64-bit mix (splitmix) of each 64-bit number, other for each salt."""
@@ -143,16 +149,17 @@ def signer(s: Settings, together: int = 50_000):
                         held = 0
             empty_out()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["doc_id", "n", "node", "bands", "sketch"],
+                [batch.column("doc_id"), batch.column("row"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=["doc_id", "row", "n", "node", "bands", "sketch"],
             )
         tidy()
 
     return sign
 
 
-def tied(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, leader) for rows sorted by bucket. All buckets take their first, second, ... leader in step."""
+def tied(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(node, leader) for rows sorted by bucket, a leader that has others with it included. All buckets take their first,
+    second, ... leader in step."""
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(keys)]))
     uncovered, rows, out = np.ones(len(keys), bool), np.arange(len(keys)), []
@@ -164,48 +171,51 @@ def tied(keys: np.ndarray, nodes: np.ndarray, sketches: np.ndarray) -> tuple[np.
         mine = leader[group]
         asked = rows[mine >= 0]
         like = (np.mean(sketches[asked] == sketches[mine[asked]], axis=1) - 1 / 256) / (1 - 1 / 256)
-        tie = (like >= FAR) & (asked != mine[asked])
-        out.append((nodes[asked[tie]], nodes[mine[asked[tie]]]))
+        tie = asked[(like >= least) & (asked != mine[asked])]
+        own = np.unique(mine[tie])
+        out.append((nodes[np.r_[tie, own]], nodes[np.r_[mine[tie], own]]))
         uncovered[asked[like >= NEAR]] = False
         uncovered[first] = False
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
-def tier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties of rows sorted by bucket and tile; a bucket that goes on in the next batch waits for it."""
-    rest = None
-    for batch in batches:
-        whole = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        k, t = whole["key"].to_numpy(), whole["tile"].to_numpy()
-        if not len(k):
-            continue
-        cut = int(np.flatnonzero((k != k[-1]) | (t != t[-1]))[-1]) + 1 if ((k != k[-1]) | (t != t[-1])).any() else 0
-        rest = whole.slice(cut)
-        if cut:
-            yield from _ties(whole.slice(0, cut))
-    if rest is not None and rest.num_rows:
-        yield from _ties(rest)
+def tier(least: float):
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ties of rows sorted by bucket and tile; a bucket that goes on in the next batch waits for it."""
+        rest = None
+        for batch in batches:
+            whole = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            k, t = whole["key"].to_numpy(), whole["tile"].to_numpy()
+            if not len(k):
+                continue
+            cut = int(np.flatnonzero((k != k[-1]) | (t != t[-1]))[-1]) + 1 if ((k != k[-1]) | (t != t[-1])).any() else 0
+            rest = whole.slice(cut)
+            if cut:
+                yield _ties(whole.slice(0, cut), least)
+        if rest is not None and rest.num_rows:
+            yield _ties(rest, least)
+        tidy()
+
+    return tie
 
 
-def _ties(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+def _ties(rows: pa.Table, least: float) -> pa.RecordBatch:
     k, t = rows["key"].to_numpy(), rows["tile"].to_numpy()
     keys = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])])
     sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(k), -1)
-    a, b = tied(keys, rows["node"].to_numpy(), sketches)
+    a, b = tied(keys, rows["node"].to_numpy(), sketches, least)
     a, b = unite(a, b) if len(a) else (a, b)  # a tie for each node at most
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def setter(s: Settings):
     """The full sets of the nodes asked for, from the texts of documents that stand for them."""
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             own = [shingles(x, s.words) for x in utf8(batch.column("text"))]
-            # Of documents that share an id, those of another text do not stand for the node.
-            right = pa.array([node_of(x) == k for x, k in zip(own, batch.column("node").to_pylist(), strict=True)], pa.bool_())
-            sent = pa.RecordBatch.from_arrays([batch.column("node"), batch.column("group"), batch.column("tiles"), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "group", "tiles", "set"])
-            yield sent.filter(right)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("places"), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "places", "set"])
+        tidy()
 
     return give
 
@@ -241,6 +251,8 @@ def linker(percent: int):
                     edges_b.append(nodes[j])
                     low, high = min(label[i], label[j]), max(label[i], label[j])
                     label[label == high] = low
+        del sets, owner, element, ids, order, posted
+        tidy()
         return pa.table([pa.array(edges_a, pa.int64()), pa.array(edges_b, pa.int64())], names=["a", "b"])
 
     return link
@@ -256,17 +268,24 @@ def tiles(piece: str, of: str) -> F.Column:
     return F.transform(other, lambda o: F.greatest(F.col(piece), o) * F.col(of) + F.least(F.col(piece), o))
 
 
-def group_near(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
+def row_of(text: Column | str) -> Column:
+    """What tells rows that share an id apart: their texts."""
+    return F.md5(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")).cast("binary"))
+
+
+def group_near(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", with_rows: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document; with_rows also row (``row_of`` its text) and kept_row,
+    which of each component holds for the rows of one id and text only: the smallest, null ids last.
 
     A null text is empty. Texts without words are linked with nothing, each its own component; so are rows
     with a null id and no id to be reached. Repeated rows are one node: each copy is returned, and all with
     the component's id are kept. An empty table gives an empty result.
     """
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = durable(texts.mapInArrow(signer(s), "doc_id long, n long, node long, bands array<long>, sketch binary"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("row", row_of("text"))
+    signed = durable(texts.mapInArrow(signer(s), "doc_id long, row string, n long, node long, bands array<long>, sketch binary"))
     full = signed.filter("n > 0")
-    lows = durable(full.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n").alias("n")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    lows = durable(full.groupBy("node").agg(first.alias("low"), F.max("n").alias("n")))
 
     # Buckets of two nodes and more, cut into pieces of bounded size; pieces meet in tiles.
     banded = durable(full.dropDuplicates(["node"]).select("node", F.explode("bands").alias("key")))
@@ -275,25 +294,30 @@ def group_near(docs: DataFrame, s: Settings = Settings(), doc_id: str = "doc_id"
     members = members.select("key", "node", F.explode(tiles("piece", "of")).alias("tile"))
     sketches = full.groupBy("node").agg(F.first("sketch").alias("sketch"))
     sorted_ = members.join(sketches, "node").repartition("key", "tile").sortWithinPartitions("key", "tile", "node")
-    groups = durable(components(sorted_.mapInArrow(tier, "a long, b long")))
+    groups = durable(components(durable(sorted_.mapInArrow(tier(s.far), "a long, b long"))))
 
     # Full sets of the tied nodes, each from one document; groups too large for a task meet in tiles as well.
     sized = groups.join(lows, "node")
     many = sized.groupBy("component").agg(F.sum("n").alias("of")).select("component", pieces("of", s.tile_shingles).alias("of"))
-    asked = sized.join(many, "component").withColumn("piece", F.pmod(F.xxhash64("node", F.lit(1)), F.col("of")).cast("int"))
-    asked = durable(asked.select("low", "node", F.col("component").alias("group"), tiles("piece", "of").alias("tiles")))
+    placed = sized.join(many, "component").withColumn("piece", F.pmod(F.xxhash64("node", F.lit(1)), F.col("of")).cast("int"))
+    place = F.transform(tiles("piece", "of"), lambda t: F.struct(F.col("component").alias("group"), t.alias("tile")))
+    asked = durable(placed.select("node", place.alias("places"), F.col("low.doc_id").alias("_id"), F.col("low.row").alias("_row")))
     small = asked.count() <= BROADCAST_ROWS
-    stand_in = texts.join(F.broadcast(asked) if small else asked, texts["doc_id"].eqNullSafe(asked["low"])).select("node", "group", "tiles", "text")
-    sets = stand_in.mapInArrow(setter(s), "node long, group long, tiles array<int>, set binary").select("group", F.explode("tiles").alias("tile"), "node", "set")
-    links = sets.groupBy("group", "tile").applyInArrow(linker(s.percent), "a long, b long")
+    stand_in = texts.join(F.broadcast(asked) if small else asked, texts["doc_id"].eqNullSafe(asked["_id"]) & (texts["row"] == asked["_row"]))
+    stand_in = stand_in.select("node", "places", "text").dropDuplicates(["node"])  # rows may repeat
+    sets = stand_in.mapInArrow(setter(s), "node long, places array<struct<group: long, tile: int>>, set binary").select(F.explode("places").alias("at"), "node", "set")
+    # Written down before they are united, so that a task has one Python worker and not two.
+    links = durable(sets.groupBy("at.group", "at.tile").applyInArrow(linker(s.percent), "a long, b long"))
     linked = components(links)
 
-    least = linked.join(lows, "node").groupBy("component").agg(F.min("low").alias("component_id"))
-    reached = linked.join(least, "component").select("node", "component_id")
-    single = lows.join(reached, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
-    out = full.select("doc_id", "n", "node").join(single, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = signed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    least = linked.join(lows, "node").groupBy("component").agg(F.min("low").alias("least"))
+    reached = linked.join(least, "component").select("node", "least")
+    single = lows.join(reached, "node", "left").select("node", F.coalesce("least", "low").alias("least"))
+    out = full.select("doc_id", "row", "n", "node").join(single, "node").select("doc_id", F.col("n").alias("n_shingles"), F.col("least.doc_id").alias("component_id"), "row", F.col("least.row").alias("_first"))
+    empty = signed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "row", F.col("row").alias("_first"))
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    whole = out.unionByName(empty).withColumn("kept", same)
+    return whole.withColumn("kept_row", same & (F.col("row") == F.col("_first"))).drop("_first") if with_rows else whole.drop("row", "_first")
 
 
 #: The same rows in DuckDB's SQL: all pairs that share a shingle are counted.
