@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of every word and line rule here: space and the controls from tab to carriage return.
@@ -29,16 +29,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written to the folder all executors share (spark.checkpoint.dir).
 
-    Only a session without that setting, as in tests, gets a folder of its own.
+    A session on one machine without that setting, as in tests, gets a folder of its own. A cluster has to have one.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        own = tempfile.mkdtemp(prefix="webloom-checkpoint-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        own = context.getConf().get("spark.checkpoint.dir")
+        if not own:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            own = tempfile.mkdtemp(prefix="webloom-checkpoint-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
         context.setCheckpointDir(own)
     return df.checkpoint()
 
 
+def numbered(rows: DataFrame, keys: list[str], into: str) -> DataFrame:
+    """The rows, written down, with a number from 0 that tells those apart that are equal in ``keys``; null equals null.
+
+    Numbers are given inside partitions first, so that rows which repeat without end are not one task.
+    """
+    placed = durable(rows.withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    more = counts.withColumn("_base", F.sum("_n").over(before)).filter("_base > 0").select("_part", "_base", *(F.col(k).alias(f"_of_{k}") for k in keys))
+    own = Window.partitionBy(*keys, "_part").orderBy(F.lit(0))
+    turned = placed.withColumn("_turn", F.row_number().over(own).cast("long") - 1)
+    same = [turned[k].eqNullSafe(more[f"_of_{k}"]) for k in keys]
+    joined = turned.join(more.withColumnRenamed("_part", "_of_part"), [*same, F.col("_part") == F.col("_of_part")], "left")
+    return joined.select(*rows.columns, (F.col("_turn") + F.coalesce("_base", F.lit(0))).alias(into))
+
+
 def parts_for(amount: int, each: int, least: int = 1) -> int:
     """So many parts that each holds about ``each``."""
     return max(least, -(-int(amount or 0) // each))

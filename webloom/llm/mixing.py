@@ -15,10 +15,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import WORD, durable
+from webloom.llm.common import WORD, durable, numbered, parts_for, text_bytes
 
 #: A controlled vocabulary: the driver holds a row for each source, never more than this.
 MAX_SOURCES = 100_000
+#: Text that a piece of the shuffled mix holds, over all shards.
+PIECE_BYTES = 64 << 20
 
 
 def reshared(sizes: list[int], weights: list[int], share: Fraction, most: int) -> list[float]:
@@ -50,15 +52,26 @@ def split(quota: np.ndarray, leaves: int, rng: np.random.Generator) -> list[np.n
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    """numpy's draw; counts beyond its range of 10^9 are first halved by a draw of their normal limit."""
+    """numpy's draw. Counts beyond its range of 10^9 are drawn from the same law by inversion, around the mode."""
     if not good or not sample:
         return 0
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, sample))
+    return inverted(rng, good, bad, sample)
+
+
+def inverted(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """A hypergeometric draw: the law's values follow from the mode's by the ratios of neighbours. Those over 40 deviations
+    from the mean are below what a double holds beside the mode's."""
     n = good + bad
-    mean = sample * good / n
-    sd = (mean * (bad / n) * ((n - sample) / max(n - 1, 1))) ** 0.5
-    return int(min(good, sample, max(0, sample - bad, round(rng.normal(mean, sd)))))
+    sd = (sample * (good / n) * (bad / n) * ((n - sample) / (n - 1))) ** 0.5
+    mode = (sample + 1) * (good + 1) // (n + 2)
+    low, high = max(0, sample - bad, mode - int(40 * sd) - 2), min(good, sample, mode + int(40 * sd) + 2)
+    k = np.arange(low, high)
+    steps = np.log((good - k) / (k + 1.0)) + np.log((sample - k) / (bad - sample + k + 1.0))
+    logs = np.r_[0.0, np.cumsum(steps)]
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], side="right"))
 
 
 def running(rows: DataFrame, group: list[str], at: str, value: str, into: str, fan: int = 4096) -> DataFrame:
@@ -128,20 +141,28 @@ def words(text: str) -> F.Column:
 
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken, mix_shards of each document; size counts its words, 0 for a null text."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"))
-    return mix(rows, **options).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "mix_shards")
+    """doc_id, size, source_size, target, taken, mix_shards of each document; size counts its words, 0 for a null text.
+
+    Repeated rows are drawn each on its own; documents that share an id, or have none, are as well. Null sources
+    are one source, the last. A source without words has target 0. An empty table gives an empty result.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"), F.xxhash64(text).alias("_text"))
+    rows = numbered(rows, ["doc_id", "source", "_text"], "_copy")
+    return mix(rows, ties=("doc_id", "_text", "_copy"), **options).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "mix_shards")
 
 
 def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 8, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, dealt to its shards and shuffled inside them.
 
-    Returns docs' columns and mix_shard (which takes the place of one of that name). Rows that repeat are drawn together: each as often as the others.
+    Returns docs' columns and mix_shard (which takes the place of one of that name). Rows alike in id, source and text are
+    drawn together: each as often as the others. A null text has no words and is not taken, nor is any of a source without
+    words. An empty table gives an empty result.
     """
+    pieces = parts_for(text_bytes(docs, text), PIECE_BYTES)
     keyed = docs.select(F.struct(*docs.columns).alias("_all"), F.xxhash64(doc_id, source, text).alias("_row"), F.col(source).alias("_source"), words(text).alias("_words"))
     slim = keyed.groupBy("_row", "_source").agg(F.sum("_words").alias("_words"))
     taken = mix(slim, source="_source", size="_words", ties=("_row",), seed=seed, **options).filter("copies > 0").select("_row", "mix_shards")
     each = keyed.select("_all", "_row").join(taken, "_row").select("_all", "_row", F.posexplode("mix_shards").alias("_copy", "_shard"))
     shuffled = each.withColumn("_key", F.xxhash64(F.lit(seed), F.lit("shuffle"), "_row", "_copy"))
-    dealt = shuffled.repartition("_shard", F.pmod(F.col("_key"), F.lit(64))).sortWithinPartitions("_shard", "_key")
+    dealt = shuffled.repartition("_shard", F.pmod(F.col("_key"), F.lit(pieces))).sortWithinPartitions("_shard", "_key")
     return dealt.select(*(F.col("_all")[c].alias(c) for c in docs.columns if c != "mix_shard"), F.col("_shard").alias("mix_shard"))

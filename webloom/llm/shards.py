@@ -12,15 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import durable, unit
+from webloom.llm.common import durable, numbered, unit
 
 #: Low bits of the key, which tell the records of a group apart.
 LOW = 24
 
 
-def group_key(text: Column | str, record: Column | str) -> Column:
-    """Equal texts are neighbours in the order of this key; the high bits are the text's."""
-    return F.shiftleft(F.shiftright(F.xxhash64(text), LOW), LOW) + F.shiftrightunsigned(F.xxhash64(F.lit("record"), record), 64 - LOW)
+def group_key(text: Column | str, *record: Column | str) -> Column:
+    """Equal texts are neighbours in the order of this key; the high bits are those of ``text``, its hash."""
+    return F.shiftleft(F.shiftright(text, LOW), LOW) + F.shiftrightunsigned(F.xxhash64(F.lit("record"), *record), 64 - LOW)
 
 
 def bucket_of(value: str, bounds: list[int]) -> Column:
@@ -87,23 +87,24 @@ def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", t
     """doc_id, size, text_crc32, law ``bytes``, shard, slot and grown_shard (null) of each document.
 
     A null text has size 16 and the checksum of no bytes. Equal texts share a shard unless their sizes
-    together fill more than a range (a 64th of a shard's share). Repeated rows have a slot each; null ids
-    come first among equal texts.
+    together fill more than a range (a 64th of a shard's share). Repeated rows are records of their own, with a
+    slot each; null ids come first among equal texts.
     """
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(whole) + 16).cast("long").alias("size"),
         F.crc32(whole.cast("binary")).cast("long").alias("text_crc32"),
-        group_key(whole, F.col(doc_id)).alias("key"),
+        F.xxhash64(whole).alias("_hash"),
     )
+    rows = numbered(rows, ["doc_id", "_hash"], "_copy").withColumn("key", group_key(F.col("_hash"), "doc_id", "_copy")).drop("_hash", "_copy")
     return assign_shards(rows, shards, ties=("doc_id", "text_crc32", "size")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the documents as one folder for each shard, in the order of slots."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_key": group_key(whole, F.col(doc_id)), "_size": (F.octet_length(whole) + 16).cast("long")})
+    keyed = docs.withColumns({"_key": group_key(F.xxhash64(whole), F.col(doc_id)), "_size": (F.octet_length(whole) + 16).cast("long")})
     placed = assign_shards(keyed, shards, "_key", "_size", (doc_id,)).drop("_key", "_size")
     pieces = F.floor(F.col("slot") / 65536)
     placed.repartition("shard", pieces).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
