@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.common import SPACE, durable
+from webloom.llm.shards import bucket_of
 
 #: Terms of a run: the votes for a bit fit in a lane. The top lane also holds the sign, so 2^15 would be one too many.
 RUN = 1 << 14
@@ -91,36 +92,46 @@ def within(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
     return pairs.filter(F.col("bits") <= radius).select("fp0", "fp1", "near0", "near1", "bits").distinct()
 
 
-#: Heads of buckets that are broadcast at most, 40 bytes each; more are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
+#: Heads of buckets that are broadcast at most, 80 bytes each; more are joined by shuffling.
+BROADCAST_ROWS = 500_000
 
 
-def with_next(rows: DataFrame, id_: str, text: str, per_bucket: int = 256) -> DataFrame:
+def with_next(rows: DataFrame, id_: str, text: str, per_bucket: int = 256, ranges: int = 1024) -> DataFrame:
     """Add _bucket, _row, _guest and next_text: the text of the next row by descending id (null ids last,
-    equal ids by text); after the last row, of the first.
+    equal ids by the digests of their texts); after the last row, of the first.
 
-    Ids are dealt into buckets of equal width; a bucket's first row is also sent, as a guest behind the
-    last, to the bucket before it, so that each bucket is settled alone. (_bucket, _row) tells rows apart.
-    Only the buckets' bounds are ordered as a whole, in two levels.
+    Sampled quantiles of the ids bound ranges, and each is dealt into buckets of equal width; a range of one id,
+    and that of null ids, by digest. A bucket's first row is also sent, as a guest behind the last, to the bucket
+    before it, so that each bucket is settled alone. (_bucket, _row) tells rows apart. Only the buckets' bounds
+    are ordered as a whole, in two levels.
     """
-    low, high, n = rows.agg(F.min(id_), F.max(id_), F.count(id_)).first()
-    width = 1 if low is None else max(1, (int(high) - int(low) + 1) * per_bucket // max(1, n))
-    rows = rows.withColumn("_bucket", F.coalesce(F.floor((F.lit(float(high)) - F.col(id_).cast("double")) / width) if n else F.lit(None), F.lit(1 << 62)).cast("long"))
-    # Each bucket's largest id, and the bucket before it that has rows; the last one is before the first.
-    heads = durable(rows.groupBy("_bucket").agg(F.max(id_).alias("_head")).withColumn("_far", F.floor(F.col("_bucket") / 4096)))
+    cuts = rows.agg(F.percentile_approx(id_, [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []
+    # An id that is several quantiles has a range of its own.
+    bounds = sorted({*cuts, *(a + 1 for a, b in zip(cuts, cuts[1:], strict=False) if a == b and a < (1 << 63) - 1)})
+    rows = rows.withColumn("_range", F.when(F.col(id_).isNull(), -1).otherwise(bucket_of(id_, bounds) if bounds else F.lit(0)))
+    each = rows.groupBy("_range").agg(F.min(id_).alias("_low"), F.max(id_).alias("_high"), F.count(F.lit(1)).alias("_count"))  # a row for each range
+    rows = rows.join(F.broadcast(each), "_range").withColumn("_digest", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    wide = F.greatest(F.lit(1.0), (F.col("_high").cast("double") - F.col("_low").cast("double") + 1) * per_bucket / F.col("_count"))
+    by_id = F.floor((F.col("_high").cast("double") - F.col(id_).cast("double")) / wide)
+    by_digest = F.floor(F.conv(F.substring("_digest", 1, 8), 16, 10).cast("double") / float(1 << 32) * F.ceil(F.col("_count") / per_bucket))
+    own = F.when(F.col("_low") < F.col("_high"), by_id).otherwise(by_digest).cast("long")
+    rows = rows.withColumn("_bucket", F.shiftleft((F.lit(len(bounds)) - F.col("_range")).cast("long"), 32) + own).drop("_range", "_low", "_high", "_count")
+    # Each bucket's first row, and the bucket before it that has rows; the last one is before the first.
+    place = F.struct(F.col(id_).isNull().alias("none"), F.bitwise_not(F.col(id_)).alias("back"), F.col("_digest").alias("digest"))
+    heads = durable(rows.groupBy("_bucket").agg(F.min(place).alias("_head")).withColumn("_far", F.floor(F.col("_bucket") / 4096)))
     count, last = heads.agg(F.count(F.lit(1)), F.max("_bucket")).first()
     tops = heads.groupBy("_far").agg(F.max("_bucket").alias("_top"))
     tops = tops.select("_far", F.lag("_top").over(Window.orderBy("_far")).alias("_top"))  # a row for 4096 buckets
     near = F.lag("_bucket").over(Window.partitionBy("_far").orderBy("_bucket"))
-    first = heads.join(tops, "_far").select(F.col("_bucket").alias("_own"), "_head", F.coalesce(near, "_top", F.lit(last)).alias("_before"))
+    first = heads.join(tops, "_far").select(F.col("_bucket").alias("_own"), F.col("_head.back").alias("_back"), F.col("_head.digest").alias("_first"), F.coalesce(near, "_top", F.lit(last)).alias("_before"))
     first = F.broadcast(first) if count <= BROADCAST_ROWS else first
-    sent = rows.join(first, (F.col("_bucket") == F.col("_own")) & F.col(id_).eqNullSafe(F.col("_head")), "left")
+    sent = rows.join(first, (F.col("_bucket") == F.col("_own")) & F.bitwise_not(F.col(id_)).eqNullSafe(F.col("_back")) & (F.col("_digest") == F.col("_first")), "left")
     home = lambda bucket, guest: F.struct(F.col(bucket).alias("b"), F.lit(guest).alias("g"))
     homes = F.when(F.col("_before").isNull(), F.array(home("_bucket", 0))).otherwise(F.array(home("_bucket", 0), home("_before", 1)))
     columns = [c for c in rows.columns if c != "_bucket"]
     dealt = sent.withColumn("_home", F.explode(homes)).select(*columns, F.col("_home.b").alias("_bucket"), F.col("_home.g").alias("_guest"))
-    inside = Window.partitionBy("_bucket").orderBy("_guest", F.col(id_).desc_nulls_last(), text)
-    return dealt.withColumns({"next_text": F.lead(text).over(inside), "_row": F.row_number().over(inside)})
+    inside = Window.partitionBy("_bucket").orderBy("_guest", F.col(id_).desc_nulls_last(), "_digest")
+    return dealt.withColumns({"next_text": F.lead(text).over(inside), "_row": F.row_number().over(inside)}).drop("_digest")
 
 
 def likeness(a: tuple[str, str], b: tuple[str, str]) -> Column:
