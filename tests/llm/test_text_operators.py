@@ -155,6 +155,25 @@ def test_signatures_estimate_likeness():
         assert abs((sig[0] == sig[1]).mean() - shared / (800 - shared)) < 0.12
 
 
+def test_linked_nodes_share_a_leader():
+    """Each text of a chain resembles the next, and is tied to a leader that the next is tied to; ties grow with the chain."""
+    import numpy as np
+
+    s = near.Settings()
+    ties = []
+    for n in (200, 800):
+        sets = [near.stirred(np.arange(i * 10, i * 10 + 100, dtype=np.uint64), 1) for i in range(n)]
+        sig = near.signatures(np.concatenate(sets), np.repeat(np.arange(n), 100), n, s.length)
+        sketches = (near.stirred(sig, 9) >> np.uint64(56)).astype(np.uint8)
+        a, b = near.tied(np.zeros(n, int), np.arange(n), sketches, s.far)
+        ties.append(len(a))
+        leaders = {}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            leaders.setdefault(x, set()).add(y)
+        assert all(leaders[i] & leaders[i + 1] for i in range(n - 1))
+    assert ties[1] < 4.5 * ties[0] and ties[1] < 8 * 800
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(7, 7)]

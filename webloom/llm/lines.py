@@ -90,6 +90,7 @@ def sender(least: int, shards: int):
         shard = (found["first"] >> np.uint64(32)) % np.uint64(shards)
         order = np.argsort(shard, kind="stable")
         found, shard = found[order], shard[order]
+        tidy()
         cuts = np.flatnonzero(np.diff(shard, prepend=-1 if not len(shard) else shard[0] + np.uint64(1)))
         return pa.table({
             "shard": pa.array(shard[cuts].astype(np.int32)),
@@ -127,6 +128,7 @@ def server(least_docs: int):
             heard["first"], heard["second"], heard["last"] = probe["first"][hit], probe["second"][hit], last[place[hit]]
             more = [(*k, rest[k][1]) for x in probe[~own] if rest[k := (int(x["first"]), int(x["second"]))][0] >= least_docs]
             out.append((heard.tobytes() + np.array(more, HEARD).tobytes()) if more else heard.tobytes())
+        tidy()
         return pa.table({"block": rows["block"].cast(pa.int32()), "payload": pa.array(out, pa.binary())})
 
     return serve
@@ -165,7 +167,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 20, least_docs: int = 3, doc
     with_text = carry is not None
     own = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry or ()))
     blocks = parts_for(text_bytes(own), block_bytes)
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
     shards = max(blocks, 32)
     sent = dealt.select("id", "text", "block").groupBy("block").applyInArrow(sender(least_chars, shards), "shard int, block int, payload binary")
     heard = sent.groupBy("shard").applyInArrow(server(least_docs), "block int, payload binary")

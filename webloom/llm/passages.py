@@ -432,7 +432,7 @@ def remove_passages(docs: DataFrame, s: Settings = Settings(), doc_id: str = "do
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     blocks = parts_for(text_bytes(texts), s.block_bytes)
     shards = max(blocks, 32)
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
 
     long_ = dealt.filter(F.octet_length("text") >= s.length).select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "block", F.xxhash64("text").alias("hash"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
     same = durable(long_)
