@@ -224,7 +224,29 @@ def test_secrets(spark, odd, none):
     assert sum(w[1] + w[2] + w[3] for w in want) > 500 and secrets.scan_secrets(none).count() == 0
 
 
-def test_further_rule(spark):
+FURTHER = {
+    "forge": r"gh[pousr]_([A-Za-z0-9]+)",
+    "chat": r"xox[abprs]-([A-Za-z0-9-]+)",
+    "cloud": r"AIza([A-Za-z0-9_-]+)",
+    "jwt": r"eyJ([A-Za-z0-9_.-]+)",
+    "key": r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----([A-Za-z0-9+/=\n\r]+)",
+}
+
+
+def test_further_rules(spark):
     token = "ghp_" + "a1B2" * 9
     got = secrets.scan_secrets(spark.createDataFrame([(1, f"é {token}")], "doc_id long, text string")).first()
     assert got["spans"] == "forge:2:42" and got["base_sha256"] == sha("")
+
+    least = {r.kind: r.least for r in secrets.RULES}
+    rng = random.Random(2)
+    parts = ["ghp_", "ghs_", "xoxb-", "xoxp-", "AIza", "eyJ", "-----BEGIN ", "RSA ", "EC ", "PRIVATE KEY-----", "\n", "-", ".", " ", "é", "aB3" * 5, "Zz9_", "+/=", "token=", "0a1b2c3d" * 3, "AKIA"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 16))) for _ in range(4000)]
+    want, seen = [], set()
+    for i, t in enumerate(texts):
+        further = [(m.start(), list(FURTHER).index(k), f"{k}:{m.start()}:{m.end()}") for k, p in FURTHER.items() for m in re.finditer(p, t) if len(m[1]) >= least[k]]
+        seen |= {x[1] for x in further}
+        want.append((i, ",".join(x[2] for x in sorted(further))))
+    found = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "spans").collect()
+    own = sorted((r["doc_id"], ",".join(x for x in r["spans"].split(",") if x.split(":")[0] in FURTHER)) for r in found)
+    assert own == want and len(seen) == len(FURTHER)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,6 +60,10 @@ RULES = (
     Rule("access", "AKIA", "A-Z0-9", 14),
     Rule("hex", "", "0-9a-f", 16),
     Rule("forge", "gh(p|o|u|s|r)_", "A-Za-z0-9", 36, base=False),
+    Rule("chat", "xox(a|b|p|r|s)-", "A-Za-z0-9\\-", 10, base=False),
+    Rule("cloud", "AIza", "A-Za-z0-9_\\-", 35, base=False),
+    Rule("jwt", "eyJ", "A-Za-z0-9_.\\-", 40, base=False),
+    Rule("key", "-----BEGIN (RSA |EC |DSA |OPENSSH |ENCRYPTED )?PRIVATE KEY-----", "A-Za-z0-9+/=\n\r", 32, base=False),
 )
 
 
@@ -244,8 +249,13 @@ def backwards(rule: Rule) -> Positions:
     return _BACK[rule]
 
 
+@cache
+def compiled(rules: tuple[Rule, ...]) -> Automaton:
+    return Automaton.of(rules)
+
+
 def scanner(rules: tuple[Rule, ...], carry: list[str]):
-    automaton = Automaton.of(rules)  # on the driver, once; it travels as arrays
+    automaton = compiled(rules)  # on the driver, once; it travels as arrays
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
