@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import lines, mixing, near, neighbours, passages, pieces, quality, secrets, shards, simhash
+from webloom.llm import centroids, extract, lines, mixing, near, neighbours, passages, pieces, quality, secrets, shards, simhash, trie
 from webloom.llm.common import table
 
 
@@ -48,6 +48,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie_of_rebuilt(table(spark, sf_dir, "conversations"))
+
+
+def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_simhash": op2_simhash,
@@ -59,6 +71,16 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_secret_scan": op9_secret_scan,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_centroids": op11_centroids,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_extraction": op13_extraction,
 }
 #: Models, sampled draws, fingerprints and positions of matches have no SQL; tests hold those against plain versions.
-ORACLES = {"op3_passages": passages.ORACLE, "op5_line_dedup": lines.ORACLE, "op6_near_dedup": near.ORACLE}
+ORACLES = {
+    "op3_passages": passages.ORACLE,
+    "op5_line_dedup": lines.ORACLE,
+    "op6_near_dedup": near.ORACLE,
+    "op11_centroids": centroids.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
+    "op13_extraction": extract.ORACLE,
+}
