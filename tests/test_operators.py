@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from webloom.functions import classify
-from webloom.operators import crawl, merge, render, requests
+from webloom.operators import asof, crawl, merge, render, requests
 from webloom.plans.engine import Engine
 from webloom.sources import pages as captured
 from webloom.sources import payloads
@@ -47,6 +47,189 @@ def test_interleave_equals_simulation(spark):
         assert [got.get(q, []) for q in range(len(cases))] == [simulated_interleave([[str(u) for u in own] for own in lists], k) for lists in cases]
 
 
+def test_interleave_of_one_long_query(spark):
+    """Thousands of results of one query, most of them given by several sources; null URLs are not taken."""
+    import time
+
+    rng = random.Random(8)
+    lists = [[f"u{rng.randrange(900)}" for _ in range(500)] for _ in range(4)]
+    rows = [(1, s, p, u, "t", "d", "article", f"s{s}") for s, own in enumerate(lists) for p, u in enumerate(own)] + [(1, 0, 900, None, "t", "d", "article", "s0")]
+    df = spark.createDataFrame(rows, COLUMNS).cache()
+    df.count()
+    merge.merge(df, 2000).count()
+    began = time.time()
+    got = [r["url"] for r in merge.merge(df, 2000).orderBy("rank").collect()]
+    assert time.time() - began < 5  # of which most is the planning of a query
+    assert got == simulated_interleave(lists, 2000)
+
+
+def test_interleave_wants_its_own_number_of_each_query(spark):
+    rows = [(q, s, p, f"u{s}{p}", "t", "d", "article", f"s{s}", q) for q in range(4) for s in range(2) for p in range(3)]
+    got = merge.merge(spark.createDataFrame(rows, COLUMNS + ", n int"), F.col("n")).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {1: 1, 2: 2, 3: 3}
+
+
+def test_last_before_equals_simulation(spark):
+    rng = random.Random(2)
+    entries = [(rng.choice("abc"), rng.randrange(-50, 300), i) for i in range(60)] + [(None, 5, 1000), ("a", None, 1001)]
+    moments = [(rng.choice(["a", "b", "c", "d", None]), rng.choice([None, *range(-60, 320)]), i) for i in range(200)]
+    e, m = spark.createDataFrame(entries, "key string, since long, v int"), spark.createDataFrame(moments, "key string, t long, n int").repartition(3)
+
+    def plain(key, t):
+        own = [(s, v) for k, s, v in entries if k == key and None not in (key, t, s) and s <= t]
+        return max(own) if own else None
+
+    for width in (7, 100, 10_000):
+        got = asof.last_before(m, e, "key", "t", "since", width).collect()
+        assert len(got) == len(moments)
+        assert all((None if r["entry"] is None else (r["entry"]["since"], r["entry"]["v"])) == plain(r["key"], r["t"]) for r in got)
+    assert asof.last_before(m, e.limit(0), "key", "t", "since", 7).filter("entry IS NOT NULL").count() == 0
+
+
+def test_lookups_between_stores(spark):
+    """A request before the newest entry is answered by an older one that was alive then."""
+    entries = spark.createDataFrame([("k", 0, "old"), ("k", 1000, "new")], "key string, stored_at long, body string")
+    asked = spark.createDataFrame([("k", t) for t in (-1, 0, 50, 99, 100, 999, 1000, 1099, 1100)], "key string, t long")
+    got = {r["t"]: (r["hit"], r["stored_at"]) for r in folds.looked_up(asked, entries, ttl=100).collect()}
+    assert got == {-1: (False, None), 0: (True, 0), 50: (True, 0), 99: (True, 0), 100: (False, 0), 999: (False, 0), 1000: (True, 1000), 1099: (True, 1000), 1100: (False, 1000)}
+    hits, misses = folds.split_by_cache(asked, entries, ttl=100)
+    assert {(r["t"], r["entry"]["body"]) for r in hits.collect()} == {(0, "old"), (50, "old"), (99, "old"), (1000, "new"), (1099, "new")}
+    assert {r["t"] for r in misses.collect()} == {-1, 100, 999, 1100}
+
+
+def test_moments_within_stretches(spark):
+    rng = random.Random(4)
+    stretches = [(i, a, a + rng.choice([0, 1, 5, 40, 300])) for i, a in enumerate(rng.sample(range(-100, 500), 30))]
+    moments = [(n, rng.randrange(-150, 600)) for n in range(120)]
+    got = asof.within(spark.createDataFrame(moments, "n int, t long"), spark.createDataFrame(stretches, "s int, a long, b long"), "t", "a", "b", 20).select("n", "s").collect()
+    assert sorted(map(tuple, got)) == sorted((n, s) for n, t in moments for s, a, b in stretches if a <= t < b)
+
+
+def test_circuits_at_search_time(spark):
+    """Circuits open before a search are not asked, those that open while it lasts are named; with all open nothing is tried."""
+    stretches = spark.createDataFrame([("a", 0, 100), ("b", 50, 150), ("c", 50, 150)], "source string, open_from long, open_until long")
+    searches = spark.createDataFrame([(1, 200, 210), (2, 20, 60), (3, 60, 70), (4, 20, 30)], "query_id int, began long, ended long")
+    outcomes = spark.createDataFrame([(q, i, s, True, 2 if (q, s) == (4, "c") else 0) for q in range(1, 5) for i, s in enumerate("abc")], "query_id int, source_ord int, source string, ok boolean, n int")
+    got = {r["query_id"]: (r["tried"], r["by_source"], r["error"]) for r in merge.statuses(merge.with_circuits(outcomes, searches, stretches, 100)).collect()}
+    assert got == {
+        1: (3, "", "All 3 search backends returned 0 results (tried: a, b, c)"),
+        2: (2, "", "All 2 search backends returned 0 results (tried: b, c); open circuits: [b, c]"),
+        3: (0, "", "All search backends have open circuits (cooldown in progress). Open: [a, b, c]"),
+        4: (2, "c", None),
+    }
+
+
+def test_open_stretches(spark):
+    calls = spark.createDataFrame([("a", t, t, ok) for t, ok in [(0, False), (1, False), (2, False), (5, True), (12, False), (15, True), (30, True)]], "backend string, t long, n long, ok boolean")
+    got = folds.open_stretches(folds.breaker(calls, failures=3, cooldown=10), cooldown=10).collect()
+    assert sorted((r["open_from"], r["open_until"]) for r in got) == [(2, 12), (12, 22)]
+
+
+def test_batches_of_gappy_ids_and_groups(spark):
+    rng = random.Random(6)
+    rows = [(rng.randrange(-1000, 1_000_000), g, i) for i, g in enumerate(rng.choices(["a", "b", None], [8, 2, 1], k=500))] + [(None, "a", 900), (7, "a", 901), (7, "a", 902)]
+    df = spark.createDataFrame(rows, "id long, g string, n int").repartition(4)
+
+    def plain(own, size):
+        own = sorted(own, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "", r[2]))
+        return {r[2]: i // size for i, r in enumerate(own)}
+
+    assert {r["n"]: r["batch"] for r in merge.batches(df, "id", 5).collect()} == plain(rows, 5)
+    want = {}
+    for g in ("a", "b", None):
+        want |= plain([r for r in rows if r[1] == g], 2)
+    assert {r["n"]: r["batch"] for r in merge.batches(df, "id", 2, group="g").collect()} == want
+    assert merge.batches(df.limit(0), "id").count() == 0
+
+
+def test_enrichment_plans_its_rows_once(spark):
+    rows = spark.createDataFrame([(1, 1, "u1", "short")], "query_id int, rank int, url string, description string").repartition("query_id")
+    pages = spark.createDataFrame([("u1", "x" * 400)], "url string, content string")
+    plan = merge.enrich(rows, pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2
+
+
+def test_answers_are_read_once_for_all_plain_shapes(spark, tmp_path):
+    spark.createDataFrame([(1, "wiby", 0, 5, "[]")], "query_id int, source string, source_ord int, n int, body string").write.parquet(str(tmp_path / "answers"))
+    plan = payloads.all_results(spark.read.parquet(str(tmp_path / "answers")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3  # and once for each scraped source
+
+
+def test_custom_sources(spark):
+    """A source of one's own, as a table function over partitions of a table, goes through union, interleave and response."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="query_id int, source_ord int, pos int, title string, url string, description string, content_type string")
+    class Lines:
+        def eval(self, row):
+            for i, x in enumerate(filter(None, (row["body"] or "").split("\n"))):
+                yield row["query_id"], row["source_ord"], i, x.upper(), f"https://own.example/{x}", None, None
+
+    spark.udtf.register("own_lines", Lines)
+    answers = spark.createDataFrame([(1, "own", "a\nb\nc"), (2, "own", None), (1, "wiby", '[{"Title":"w","URL":"https://w.com"},{"Title":"same","URL":"https://own.example/a"}]')], "query_id int, source string, body string")
+    engine = Engine(spark, None, answers, custom={"own": "own_lines"}, as_of="now")
+    got = {r["query_id"]: r for r in engine.search(spark.createDataFrame([(1, "q", 3), (2, "r", 3)], "query_id int, query string, num_results int")).collect()}
+    assert [(x["url"], x["metadata"]["source"], x["metadata"]["type"]) for x in got[1]["data"]] == [("https://w.com", "wiby", "article"), ("https://own.example/a", "own", "other"), ("https://own.example/b", "own", "other")]
+    assert got[2]["data"] == [] and got[1]["metadata"]["timestamp"] == "now"
+    assert "own" in {r["source"] for r in engine.sources.filter("available").collect()}
+
+
+def test_serve_answers_all_tools(spark):
+    article = "<title>Page</title><body><article><p>" + "word " * 80 + "</p></article><div class='b'>Some <b>other</b> part</div></body>"
+    pages = spark.createDataFrame([("https://e.com/a", article, "2024-05-01T00:00:00Z")], "url string, html string, fetched string")
+    answers = spark.createDataFrame([("bees", "wiby", '[{"Title":"w","URL":"https://w.com","Snippet":"s"},{"Title":"x","URL":"https://x.com","Snippet":"t"}]')], "query string, source string, body string")
+    maps = spark.createDataFrame([("https://e.com/sitemap.xml", "<loc>https://e.com/a</loc><loc>https://e.com/gone</loc>")], "url string, body string")
+    engine = Engine(spark, pages, answers, maps=maps, as_of="2024-06-01T00:00:00Z")
+    calls = {
+        1: ("web_search", {"query": "bees", "options": {"num_results": 1}}),
+        2: ("search_duckduckgo", {"query": "nothing"}),
+        3: ("visit_page", {"url": "https://e.com/a"}),
+        4: ("visit_page", {"url": "https://e.com/a", "selector": "div.b"}),
+        5: ("visit_page", {"url": "https://e.com/gone"}),
+        6: ("crawl_site", {"root_url": "https://e.com/", "max_pages": 1}),
+        7: ("crawl_site", {"root_url": "https://e.com/"}),
+        8: ("crawl_site", {"root_url": "e.com"}),
+        9: ("web_search", {"query": "bees", "options": {"num_results": "many"}}),
+        10: ("visit_page", {"url": "https://e.com/a", "selector": 5}),
+        11: (5, {}),
+    }
+    lines = [(json.dumps({"jsonrpc": "2.0", "id": i, "method": "tools/call", "params": {"name": n, "arguments": a}}),) for i, (n, a) in calls.items()]
+    lines += [(lines[0][0],), ('{"jsonrpc":"2.0","id":"l","method":"tools/list"}',), ('{"jsonrpc":"2.0","id":"i","method":"initialize"}',)]
+    rows = engine.serve(spark.createDataFrame(lines, "line string")).collect()
+    assert len(rows) == len(lines)  # the repeated line is answered twice
+    out = {json.loads(r["response"])["id"]: json.loads(r["response"]) for r in rows}
+    text = lambda i: out[i]["result"]["content"][0]["text"]
+    assert [x["url"] for x in json.loads(text(1))["data"]] == ["https://w.com"] and json.loads(text(1))["metadata"]["timestamp"] == "2024-06-01T00:00:00Z"
+    assert out[2]["result"]["isError"] and text(2).startswith("Search failed: Search failed: All 7 search backends returned 0 results (tried: bing, wikipedia")
+    assert "**Fetched:** 2024-05-01T00:00:00Z" in text(3) and "word word" in text(3)
+    assert "other" in text(4) and "word word" not in text(4)
+    assert out[5]["result"]["isError"] and "404" in text(5)
+    assert json.loads(text(6))["summary"] == {"requested": 1, "fetched": 1, "failed": 0}
+    assert json.loads(text(7))["summary"] == {"requested": 25, "fetched": 1, "failed": 1} and json.loads(text(7))["pages"][0]["title"] == "Page"
+    assert text(8) == "Crawl failed: Invalid arguments: invalid root_url: relative URL without a base"
+    assert out[9]["error"] == {"code": -32602, "message": 'Invalid search arguments: invalid type: string "many", expected usize'}
+    assert out[10]["error"]["message"] == "Invalid fetch arguments: invalid type: integer `5`, expected a string"
+    assert out[11]["error"] == {"code": -32601, "message": "Unknown tool: "}
+    assert out["l"]["result"]["tools"][0]["inputSchema"]["properties"]["options"]["properties"]["safe_search"]["enum"] == ["OFF", "MODERATE", "STRICT"]
+    assert out["i"]["result"]["serverInfo"]["name"] == "webloom" and out["i"]["result"]["capabilities"] == {"tools": {}}
+
+
+def test_argument_misfits(spark):
+    cases = [
+        ("crawl", '{"root_url":"r","max_pages":18446744073709551615}', None),
+        ("crawl", '{"root_url":"r","max_pages":5.0}', ("max_pages", "invalid type: floating point `5.0`, expected usize")),
+        ("crawl", '{"root_url":"r","max_pages":1e2}', ("max_pages", "invalid type: floating point `100.0`, expected usize")),
+        ("crawl", '{"root_url":null}', ("root_url", "invalid type: null, expected a string")),
+        ("crawl", "[]", ("", "invalid type: sequence, expected struct CrawlArgs")),
+        ("crawl", "null", ("", "invalid type: null, expected struct CrawlArgs")),
+        ("fetch", '{"url":"u","selector":null,"more":[1]}', None),
+        ("search", '{"query":"q","options":{"safe_search":7}}', ("options.safe_search", "invalid type: integer `7`, expected string or map")),
+    ]
+    for kind, given, want in cases:
+        got = spark.createDataFrame([(given,)], "s string").select(requests.misfit(F.parse_json("s"), kind).alias("m")).first()["m"]
+        assert (None if got is None else tuple(got)) == want, given
+
+
 def test_statuses(spark):
     rows = [(1, 0, "a", True, 2), (1, 1, "b", False, 0), (2, 0, "a", True, 0), (2, 1, "b", False, 0)]
     got = {r["query_id"]: r for r in merge.statuses(spark.createDataFrame(rows, "query_id int, source_ord int, source string, ok boolean, n int")).collect()}

@@ -40,8 +40,9 @@ def domain(url: Name) -> Column:
 
 
 def is_http(url: Name) -> Column:
-    """An absolute http or https URL with a host."""
-    return F.coalesce(_c(url).rlike(r"^(?i:https?)://[^/?#\s]+") & part(url, "HOST").isNotNull(), F.lit(False))
+    """An absolute http or https URL with a host; what follows the host may hold any characters."""
+    head = r"^((?i:https?)://[^/?#\s]+)"
+    return F.coalesce(_c(url).rlike(head) & part(F.regexp_extract(_c(url), head, 1), "HOST").isNotNull(), F.lit(False))
 
 
 def skipped_in_page(href: Name) -> Column:

@@ -32,9 +32,9 @@ def discover(roots: DataFrame, maps: DataFrame, pages: DataFrame) -> DataFrame:
     return mapped.unionByName(linked).select("root", "max_pages", "sitemap_found", F.posexplode_outer("urls").alias("pos", "url"))
 
 
-def ranked(candidates: DataFrame, per: str = "root") -> DataFrame:
+def ranked(candidates: DataFrame, per: tuple[str, ...] = ("root", "max_pages")) -> DataFrame:
     """The ``max_pages`` candidates of each root with the shortest paths, the first found first among equals; adds rank from 1."""
-    order = Window.partitionBy(per).orderBy(urls.path_length("url"), "pos")
+    order = Window.partitionBy(*per).orderBy(urls.path_length("url"), "pos")
     return candidates.filter(F.col("url").isNotNull()).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("max_pages"))
 
 
@@ -50,15 +50,15 @@ def visited(candidates: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def crawl(roots: DataFrame, maps: DataFrame, pages: DataFrame) -> DataFrame:
-    """A row for each root: sitemap_found, summary, pages in rank order, errors."""
+    """A row for each root and number of pages asked for: sitemap_found, summary, pages in rank order, errors."""
     candidates = discover(roots, maps, pages)
     done = visited(ranked(candidates), pages)
     page, error = F.struct("rank", "url", "title", "markdown", "links"), F.struct("rank", "url", "error")
     listed = lambda x, keep: F.transform(F.array_sort(F.collect_list(F.when(keep, x))), lambda y: y.dropFields("rank"))
     bad = F.col("error").isNotNull()
-    sums = done.groupBy("root").agg(listed(page, ~bad).alias("pages"), listed(error, bad).alias("errors"), F.count_if(~bad).alias("_ok"), F.count_if(bad).alias("_bad"))
-    whole = candidates.groupBy("root").agg(F.bool_or("sitemap_found").alias("sitemap_found"), F.max("max_pages").alias("max_pages"))
-    out = whole.join(sums, "root", "left")
+    sums = done.groupBy("root", "max_pages").agg(listed(page, ~bad).alias("pages"), listed(error, bad).alias("errors"), F.count_if(~bad).alias("_ok"), F.count_if(bad).alias("_bad"))
+    whole = candidates.groupBy("root", "max_pages").agg(F.bool_or("sitemap_found").alias("sitemap_found"))
+    out = whole.join(sums, ["root", "max_pages"], "left")
     count = lambda c: F.coalesce(F.col(c), F.lit(0))
     summary = F.struct(F.col("max_pages").cast("long").alias("requested"), count("_ok").alias("fetched"), count("_bad").alias("failed"))
     empty = lambda c: F.coalesce(F.col(c), F.array().cast(sums.schema[c].dataType))

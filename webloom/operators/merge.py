@@ -2,21 +2,39 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webloom.functions import classify, rules, text
-
-RESULT = "struct<title:string,url:string,description:string,content_type:string,source:string>"
-
+from webloom.operators import asof
 
 def statuses(outcomes: DataFrame, key: str = "query_id") -> DataFrame:
     """From outcomes (key, source_ord, source, ok, n): for each query tried, any_success, the sources with results, and an error
-    text if there are none."""
+    text if there are none.
+
+    ``open_before`` and ``open_after``, if there: whether the source's circuit was open when the search began, and when it
+    ended. The former are not tried; the latter are named with the error. If all were open before, nothing was tried.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in outcomes.columns else F.lit(False)
     named = lambda keep: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("source_ord", "source")))), lambda x: x["source"])
-    good = F.col("ok") & (F.col("n") > 0)
-    out = outcomes.groupBy(key).agg(F.count(F.lit(1)).alias("tried"), F.coalesce(F.bool_or(good), F.lit(False)).alias("any_success"), named(good).alias("by_source"), named(F.lit(True)).alias("names"))
-    return out.select(key, "tried", "any_success", F.array_join("by_source", ",").alias("by_source"), F.when(~F.col("any_success"), no_results(F.col("tried"), F.col("names"), F.array().cast("array<string>"))).alias("error"))
+    asked = ~flag("open_before")
+    good = asked & F.col("ok") & (F.col("n") > 0)
+    out = outcomes.groupBy(key).agg(F.count_if(asked).alias("tried"), F.coalesce(F.bool_or(good), F.lit(False)).alias("any_success"), named(good).alias("by_source"), named(asked).alias("names"), named(~asked).alias("_open"), named(asked & flag("open_after")).alias("_opened"))
+    error = F.when(F.col("tried") == 0, all_open(F.col("_open"))).when(~F.col("any_success"), no_results(F.col("tried"), F.col("names"), F.col("_opened")))
+    return out.select(key, "tried", "any_success", F.array_join("by_source", ",").alias("by_source"), error.alias("error"))
+
+
+def with_circuits(outcomes: DataFrame, searches: DataFrame, stretches: DataFrame, width: int, key: str = "query_id") -> DataFrame:
+    """Outcomes (key, source and others) with open_before and open_after, by the circuits open (source, open_from, open_until)
+    when their search began and ended (key, began, ended). ``width`` is about the length of a stretch."""
+
+    def at(moment: str, into: str) -> DataFrame:
+        return asof.within(searches.select(key, moment), stretches, moment, "open_from", "open_until", width).select(key, "source", F.lit(True).alias(into)).distinct()
+
+    marked = outcomes.join(at("began", "open_before"), [key, "source"], "left").join(at("ended", "open_after"), [key, "source"], "left")
+    return marked.na.fill(False, ["open_before", "open_after"])
 
 
 def no_results(tried: Column, names: Column, open_: Column) -> Column:
@@ -28,29 +46,51 @@ def all_open(names: Column) -> Column:
     return F.concat(F.lit("All search backends have open circuits (cooldown in progress). Open: ["), F.array_join(names, ", "), F.lit("]"))
 
 
-def interleave(lists: Column, k: Column) -> Column:
-    """The sources' lists in turn, each giving its first result with a URL not yet taken, k in all.
-
-    All that a list has before its place is taken already, so what it gives next is the first of it that is
-    not; the list so far is the whole state. Steps after the end add nothing.
-    """
-    turns = F.when(F.size(lists) > 0, F.sequence(F.lit(0), F.size(lists) * F.array_max(F.transform(lists, F.size)) - 1)).otherwise(F.array().cast("array<int>"))
-
-    def step(taken: Column, turn: Column) -> Column:
-        own = F.get(lists, turn % F.size(lists))
-        new = F.filter(own, lambda x: ~F.exists(taken, lambda y: y["url"] == x["url"]))
-        return F.when(F.size(taken) >= k, taken).otherwise(F.concat(taken, F.slice(new, 1, 1)))
-
-    return F.slice(F.aggregate(turns, F.filter(F.flatten(lists), lambda x: F.lit(False)), step), F.lit(1), F.greatest(F.lit(0), k))
+def _in_turn(sources: list[list], k: int) -> list[tuple[int, int]]:
+    """(source, place) of what is taken: sources in turn, each the next of its URLs that none has given yet; k in all."""
+    at, seen, out = [0] * len(sources), set(), []
+    live = list(range(len(sources)))
+    while live and len(out) < k:
+        going = []
+        for s in live:
+            own = sources[s]
+            while at[s] < len(own) and own[at[s]] in seen:
+                at[s] += 1
+            if at[s] < len(own):
+                seen.add(own[at[s]])
+                out.append((s, at[s]))
+                going.append(s)
+                if len(out) >= k:
+                    break
+        live = going
+    return out
+
+
+def _interleaved(table: pa.Table) -> pa.Table:
+    """One query's rows, each source's in their order, cut to what is wanted of them, with their rank."""
+    table = table.sort_by([("_s", "ascending"), ("_n", "ascending")])
+    source, urls = table.column("_s").to_pylist(), table.column("url").to_pylist()
+    starts = [i for i in range(len(source)) if not i or source[i] != source[i - 1]]
+    lists = [urls[a:b] for a, b in zip(starts, [*starts[1:], len(urls)], strict=True)]
+    taken = [starts[s] + i for s, i in _in_turn(lists, max(table.column("_k").to_pylist(), default=0))]
+    return table.take(pa.array(taken, pa.int64())).append_column("rank", pa.array(range(1, len(taken) + 1), pa.int32())).drop_columns(["_s", "_n", "_k"])
 
 
 def merge(rows: DataFrame, k: Column | int, key: str = "query_id") -> DataFrame:
-    """From results (key, source_ord, pos and others): key, rank (from 1) and the others, interleaved. One shuffle by key."""
+    """From results (key, source_ord, pos and others): key, rank (from 1) and the others, interleaved: sources in turn, each its next
+    URL not yet taken, k in all. A column k is one number for each query. Results without URL are not taken.
+
+    What a source gives up to its last place taken is its own or taken from another, so its first k different URLs are all that
+    can matter: a query's rows come together only after lists are cut to these, at most k of each source.
+    """
     others = [c for c in rows.columns if c not in (key, "source_ord", "pos")]
-    listed = rows.groupBy(key, "source_ord").agg(F.array_sort(F.collect_list(F.struct("pos", *others))).alias("_l"))
-    whole = listed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("source_ord", "_l"))), lambda x: x["_l"]).alias("_ls"))
-    merged = whole.select(key, F.posexplode(interleave(F.col("_ls"), F.lit(k) if isinstance(k, int) else k)).alias("_i", "_r"))
-    return merged.select(key, (F.col("_i") + 1).alias("rank"), *(F.col("_r")[c].alias(c) for c in others))
+    wanted = rows.withColumn("_k", F.lit(k) if isinstance(k, int) else k).filter(F.col("url").isNotNull() & (F.col("_k") > 0))
+    first = wanted.groupBy(key, "source_ord", "url").agg(F.min(F.struct("pos", *others)).alias("_r"), F.max("_k").cast("long").alias("_k"))
+    place = F.row_number().over(Window.partitionBy(key, "source_ord").orderBy("_r"))
+    cut = first.withColumn("_n", place).filter(F.col("_n") <= F.col("_k"))
+    flat = cut.select(key, F.coalesce(F.col("source_ord").cast("long"), F.lit(-(1 << 62))).alias("_s"), "_n", "_k", *(F.col("_r")[c].alias(c) for c in others))
+    shape = T.StructType([*(flat.schema[c] for c in (key, *others)), T.StructField("rank", T.IntegerType())])
+    return flat.groupBy(key).applyInArrow(_interleaved, shape).select(key, "rank", *others)
 
 
 def first_of_each(rows: DataFrame, n: int, key: tuple[str, ...] = ("query_id", "source_ord")) -> DataFrame:
@@ -62,12 +102,13 @@ def first_of_each(rows: DataFrame, n: int, key: tuple[str, ...] = ("query_id", "
 def enrich(rows: DataFrame, pages: DataFrame, key: str = "query_id") -> DataFrame:
     """Of the first rows of each query, those with sparse descriptions get the start of their page (url, content), if it was had.
 
-    Only those rows meet the pages, and pages meet each URL once.
+    One left join: rows that are not sparse have no key in it, so they meet nothing, and what is above is planned once.
     """
     sparse = F.coalesce((F.col("rank") <= rules.SPARSE_ROWS) & text.is_sparse("description"), F.lit(False))
-    snippets = pages.filter(F.col("content").isNotNull()).groupBy("url").agg(F.min(text.snippet("content")).alias("_snippet"))
-    met = rows.filter(sparse).join(snippets, "url", "left").withColumn("description", F.coalesce("_snippet", "description"))
-    return met.select(*rows.columns).unionByName(rows.filter(~sparse))
+    snippets = pages.filter(F.col("content").isNotNull()).groupBy("url").agg(F.min(text.snippet("content")).alias("_snippet")).withColumnRenamed("url", "_url")
+    asked = rows.withColumn("_wanted", F.when(sparse, F.col("url")))
+    met = asked.join(snippets, asked["_wanted"] == snippets["_url"], "left").withColumn("description", F.coalesce("_snippet", "description"))
+    return met.select(*rows.columns)
 
 
 def topics(rows: DataFrame, key: str = "query_id") -> DataFrame:
@@ -91,6 +132,22 @@ def responses(queries: DataFrame, rows: DataFrame, key: str = "query_id") -> Dat
     return out.select(key, F.lit("search_results").alias("type"), found.alias("data"), meta.alias("metadata"))
 
 
-def batches(rows: DataFrame, order: str, size: int = rules.BATCH, group: str | None = None) -> DataFrame:
-    """Add batch: rows of a group in runs of ``size``, by their order, a dense whole number from 0 in each group."""
-    return rows.withColumn("batch", F.floor(F.col(order) / size))
+def batches(rows: DataFrame, order: str, size: int = rules.BATCH, group: str | None = None, ranges: int = 32) -> DataFrame:
+    """Add batch: rows of a group (or all) in runs of ``size``, by their order, any numbers; batches count from 0 in each group.
+
+    Rows are numbered by ranges of the order: each is numbered by itself, and the counts of those before it are added, so
+    no group is one task's. Rows of equal order are in batches as their other columns say. Null orders come first.
+    """
+    by = [group] if group else []
+    cuts = rows.agg(F.percentile_approx(F.col(order).cast("double"), [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    value = F.col(order).cast("double")
+    part = F.coalesce(sum((value > c).cast("int") for c in sorted(set(cuts))) if cuts else F.lit(0), F.lit(-1))
+    placed = rows.withColumn("_part", part)
+    tie = [F.hash(F.col(c)) if isinstance(placed.schema[c].dataType, (T.MapType, T.VariantType)) else F.col(c) for c in rows.columns]
+    counts = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    own = placed.withColumn("_own", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(order, *tie)) - 1)
+    same = [own[c].eqNullSafe(base[c]) for c in [*by, "_part"]]
+    joined = own.join(F.broadcast(base) if not by else base, same)
+    return joined.select(*(own[c] for c in rows.columns), F.floor((own["_own"] + base["_base"]) / size).alias("batch"))

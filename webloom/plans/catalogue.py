@@ -280,7 +280,13 @@ query(
   SELECT query_id, 'search_results' AS type, 'query ' || query_id AS query, '2024-01-01T00:00:00Z' AS timestamp, count(*) AS n, 'en' AS language, (SELECT string_agg(DISTINCT t, ',' ORDER BY t) FROM (SELECT unnest(string_split(string_agg(ts, ','), ',')) AS t)) AS topics, string_agg(url, ',' ORDER BY i) AS urls
   FROM (SELECT query_id, i, m[i].u AS url, {TOPIC_ROW} AS ts FROM (SELECT query_id, m, unnest(range(1, least(5, len(m)) + 1)) AS i FROM merged)) GROUP BY query_id""",
 )
-query("query_batches", "SELECT item_id, text FROM {benchmark}", lambda d: merge.batches(d, "item_id").select("item_id", "batch"), "SELECT item_id, item_id // 5 AS batch FROM src")
+query("query_batches", "SELECT item_id, text FROM {benchmark}", lambda d: merge.batches(d, "item_id").select("item_id", "batch"), "SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) // 5 AS batch FROM src")
+query(
+    "grouped_batches",
+    "SELECT doc_id * 3 + doc_id % 2 AS place, lang, length(text) AS size FROM {documents}",
+    lambda d: merge.batches(d, "place", 7, group="lang").select("place", "lang", "batch"),
+    "SELECT place, lang, (row_number() OVER (PARTITION BY lang ORDER BY place, size) - 1) // 7 AS batch FROM src",
+)
 QUERIES["source_registry"] = lambda spark, sf_dir: wide(registry.available(registry.registry(spark, ("tavily",))))
 ORACLES["source_registry"] = "SELECT * FROM (VALUES (1::BIGINT, 'tavily'), (2, 'bing'), (3, 'wikipedia'), (4, 'stackoverflow'), (5, 'github'), (6, 'wiby'), (7, 'ddg-instant'), (8, 'duckduckgo')) AS t(source_ord, source)"
 
@@ -403,8 +409,34 @@ ENTRIES = "SELECT CASE WHEN event_id % 3 = 0 THEN 'page:' ELSE 'search:' END ||
 state(
     "cache_lookup",
     ENTRIES,
-    lambda d: folds.looked_up(d.drop("stored"), d.filter("stored").select("key", (F.col("t") - 50 * HOUR).alias("stored_at")), ttl=100 * HOUR),
-    f", e AS (SELECT key, max(t) - {50 * HOUR} AS s FROM src WHERE stored GROUP BY key) SELECT src.key, t, n, coalesce(t >= s AND t - s < {100 * HOUR}, FALSE) AS hit FROM src LEFT JOIN e USING (key)",
+    lambda d: folds.looked_up(d.drop("stored"), d.filter("stored").select("key", (F.col("t") + 1).alias("stored_at")), ttl=HOUR // 2),
+    f", e AS (SELECT DISTINCT key, t + 1 AS s FROM src WHERE stored) SELECT src.key, t, n, e.s AS stored_at, coalesce(t - e.s < {HOUR // 2}, FALSE) AS hit FROM src ASOF LEFT JOIN e ON src.key = e.key AND src.t >= e.s",
+)
+# Searches last for a time, in which circuits can open. Each event begins one, ten minutes before it, over all five sources.
+SOON = 600_000_000
+SEARCHES = f"SELECT n AS query_id, t - {SOON} AS began, t + {SOON} AS ended FROM src"
+TRACE_FOLD = FOLD.replace(f"'a': NOT s.o OR x.t - s.f >= {HOUR}", f"'a': NOT s.o OR x.t - s.f >= {HOUR}, 'x': (NOT s.o OR x.t - s.f >= {HOUR}) AND NOT x.ok AND (s.o OR s.c + 1 >= 3)").replace("'a': FALSE}]", "'a': FALSE, 'x': FALSE}]")
+
+
+def _backend_errors(d: DataFrame) -> DataFrame:
+    stretches = folds.open_stretches(folds.breaker(d, cooldown=HOUR), cooldown=HOUR).withColumnRenamed("backend", "source")
+    searches = d.select(F.col("n").alias("query_id"), (F.col("t") - SOON).alias("began"), (F.col("t") + SOON).alias("ended"))
+    source = F.explode(F.array(*(F.struct(F.lit(i).alias("source_ord"), F.lit(f"b{i}").alias("source")) for i in range(5))))
+    outcomes = searches.select("query_id", source.alias("s")).select("query_id", "s.*", F.lit(True).alias("ok"), F.when((F.col("query_id") + F.col("s.source_ord")) % 23 == 0, 3).otherwise(0).alias("n"))
+    return merge.statuses(merge.with_circuits(outcomes, searches, stretches, HOUR))
+
+
+state(
+    "backend_errors",
+    CALLS,
+    _backend_errors,
+    ", " + TRACE_FOLD + f""", open_ AS (SELECT backend, r.t AS a, r.t + {HOUR} AS b FROM (SELECT backend, unnest(s.r) AS r FROM folded) WHERE r.x),
+    searches AS ({SEARCHES}), asked AS (SELECT query_id, began, ended, i, 'b' || i AS source, (query_id + i) % 23 = 0 AS found FROM searches, range(5) AS r(i)),
+    marked AS (SELECT query_id, i, source, found, coalesce(bool_or(began >= a AND began < b), FALSE) AS before_, coalesce(bool_or(ended >= a AND ended < b), FALSE) AS after_ FROM asked LEFT JOIN open_ o ON o.backend = asked.source AND ended >= a AND began < b GROUP BY ALL),
+    sums AS (SELECT query_id, count(*) FILTER (WHERE NOT before_) AS tried, coalesce(bool_or(found AND NOT before_), FALSE) AS any_success, coalesce(string_agg(source, ',' ORDER BY i) FILTER (WHERE found AND NOT before_), '') AS by_source,
+      string_agg(source, ', ' ORDER BY i) FILTER (WHERE NOT before_) AS names, string_agg(source, ', ' ORDER BY i) FILTER (WHERE before_) AS closed, string_agg(source, ', ' ORDER BY i) FILTER (WHERE NOT before_ AND after_) AS opened FROM marked GROUP BY query_id)
+    SELECT query_id, tried, any_success, by_source, CASE WHEN tried = 0 THEN 'All search backends have open circuits (cooldown in progress). Open: [' || closed || ']'
+      WHEN NOT any_success THEN 'All ' || tried || ' search backends returned 0 results (tried: ' || names || ')' || coalesce('; open circuits: [' || opened || ']', '') END AS error FROM sums""",
 )
 
 # ---- requests, made of conversations
@@ -427,15 +459,70 @@ query(
     "rpc_errors",
     LINES,
     lines_of(lambda d: d.filter("action = 'error'").select("conv_id", "turn", "code", "message")),
-    f"SELECT conv_id, turn, CASE {K} WHEN 4 THEN -32602 WHEN 5 THEN -32601 WHEN 7 THEN -32602 WHEN 9 THEN -32601 WHEN 10 THEN -32700 ELSE -32602 END::BIGINT AS code, CASE {K} WHEN 4 THEN 'Missing parameters' WHEN 5 THEN 'Unknown tool: nope' WHEN 7 THEN 'Invalid search arguments' WHEN 9 THEN 'Method not found: dance' WHEN 10 THEN 'Parse error' ELSE 'Invalid crawl arguments' END AS message FROM src WHERE {K} IN (4, 5, 7, 9, 10, 12)",
+    f"SELECT conv_id, turn, CASE {K} WHEN 4 THEN -32602 WHEN 5 THEN -32601 WHEN 7 THEN -32602 WHEN 9 THEN -32601 WHEN 10 THEN -32700 ELSE -32602 END::BIGINT AS code, CASE {K} WHEN 4 THEN 'Missing parameters' WHEN 5 THEN 'Unknown tool: nope' WHEN 7 THEN 'Invalid search arguments: missing field `query`' WHEN 9 THEN 'Method not found: dance' WHEN 10 THEN 'Parse error' ELSE 'Invalid crawl arguments: invalid type: integer `5`, expected a string' END AS message FROM src WHERE {K} IN (4, 5, 7, 9, 10, 12)",
 )
 query(
     "rpc_responses",
     LINES,
     lines_of(lambda d: requests.response_lines(d.filter("action IN ('empty', 'error', 'tool_error')")).select("conv_id", "turn", "response")),
     f"""SELECT conv_id, turn, CASE {K} WHEN 0 THEN '{{"jsonrpc":"2.0","id":1,"result":{{}}}}' WHEN 4 THEN '{{"jsonrpc":"2.0","id":3,"error":{{"code":-32602,"message":"Missing parameters"}}}}' WHEN 5 THEN '{{"jsonrpc":"2.0","id":4,"error":{{"code":-32601,"message":"Unknown tool: nope"}}}}'
-    WHEN 6 THEN '{{"jsonrpc":"2.0","id":5,"result":{{"content":[{{"type":"text","text":"Invalid URL: must be HTTP or HTTPS"}}],"isError":true}}}}' WHEN 7 THEN '{{"jsonrpc":"2.0","id":6,"error":{{"code":-32602,"message":"Invalid search arguments"}}}}'
-    WHEN 10 THEN '{{"jsonrpc":"2.0","id":null,"error":{{"code":-32700,"message":"Parse error"}}}}' ELSE '{{"jsonrpc":"2.0","id":8,"error":{{"code":-32602,"message":"Invalid crawl arguments"}}}}' END AS response FROM src WHERE {K} IN (0, 4, 5, 6, 7, 10, 12)""",
+    WHEN 6 THEN '{{"jsonrpc":"2.0","id":5,"result":{{"content":[{{"type":"text","text":"Invalid URL: must be HTTP or HTTPS"}}],"isError":true}}}}' WHEN 7 THEN '{{"jsonrpc":"2.0","id":6,"error":{{"code":-32602,"message":"Invalid search arguments: missing field `query`"}}}}'
+    WHEN 10 THEN '{{"jsonrpc":"2.0","id":null,"error":{{"code":-32700,"message":"Parse error"}}}}' ELSE '{{"jsonrpc":"2.0","id":8,"error":{{"code":-32602,"message":"Invalid crawl arguments: invalid type: integer `5`, expected a string"}}}}' END AS response FROM src WHERE {K} IN (0, 4, 5, 6, 7, 10, 12)""",
+)
+# Calls whose arguments are the turns' texts, in every shape that fits, and in those that do not.
+SAID = "replace(replace(replace(text, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34)), chr(10), chr(92) || 'n')"
+SHAPED_CALLS = (
+    # tool, arguments (@ is the text), path and cause of the misfit if there is one
+    ("web_search", '{"query":"@"}', None, None),
+    ("search_duckduckgo", '{"query":"@","options":{"num_results":7,"region":"us-en","safe_search":"OFF","time_range":null}}', None, None),
+    ("web_search", '{"query":"@","options":null}', None, None),
+    ("web_search", '{"query":"@","options":{"num_results":"@"}}', "options.num_results", "invalid type: string \"@\", expected usize"),
+    ("web_search", '{"query":"@","options":{"num_results":-3}}', "options.num_results", "invalid value: integer `-3`, expected usize"),
+    ("web_search", '{"query":["@"],"options":{"safe_search":"low"}}', "options.safe_search", "unknown variant `low`, expected one of `OFF`, `MODERATE`, `STRICT`"),
+    ("web_search", '{"query":["@"],"options":{"region":null}}', "options.region", "invalid type: null, expected a string"),
+    ("web_search", '{"query":["@"]}', "query", "invalid type: sequence, expected a string"),
+    ("web_search", '{"text":"@"}', "query", "missing field `query`"),
+    ("web_search", '"@"', "", "invalid type: string \"@\", expected struct SearchArgs"),
+    ("web_search", '{"query":"@","options":"@"}', "options", "invalid type: string \"@\", expected struct SearchOptions"),
+    ("visit_page", '{"url":"https://e.org/?q=@","selector":"p.a"}', None, None),
+    ("visit_page", '{"url":"https://e.org/","selector":5}', "selector", "invalid type: integer `5`, expected a string"),
+    ("visit_page", '{"url":"https://e.org/","include_images":"@"}', "include_images", "invalid type: string \"@\", expected a boolean"),
+    ("visit_page", '{"url":{"of":"@"}}', "url", "invalid type: map, expected a string"),
+    ("crawl_site", '{"root_url":"https://e.org/","max_pages":12}', None, None),
+    ("crawl_site", '{"root_url":"https://e.org/","max_pages":"@"}', "max_pages", "invalid type: string \"@\", expected usize"),
+    ("crawl_site", '{"root_url":"https://e.org/","concurrency":2.5,"max_pages":true}', "concurrency", "invalid type: floating point `2.5`, expected usize"),
+    ("crawl_site", '{"max_pages":3,"root_url":false}', "root_url", "invalid type: boolean `false`, expected a string"),
+)
+
+
+def _by_case(values: list[str | None]) -> str:
+    return f"CASE (conv_id * 5 + turn) % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values) if v is not None) + " END"
+
+
+def _with_text(x: str) -> str:
+    quoted = "'" + x.replace("'", "''") + "'"
+    return quoted.replace("@", f"' || {SAID} || '")
+
+
+PREFIXES = {"web_search": "search", "search_duckduckgo": "search", "visit_page": "fetch", "crawl_site": "crawl"}
+CALL_LINES = "SELECT conv_id, turn, text, " + _by_case([_with_text(f'{{"jsonrpc":"2.0","id":1,"method":"tools/call","params":{{"name":"{t}","arguments":{a}}}}}') for t, a, _, _ in SHAPED_CALLS]).replace("{", "{{").replace("}", "}}") + " AS line FROM {conversations}"
+query(
+    "rpc_calls",
+    CALL_LINES,
+    lines_of(lambda d: d.select("conv_id", "turn", "action", "path", "code", "message", "query", "region", "safe_search", "num_results", "url", "selector", "root_url", "max_pages")),
+    "SELECT conv_id, turn, "
+    + _by_case(["'error'" if cause else f"'call:{PREFIXES[t]}'" for t, _, _, cause in SHAPED_CALLS]) + " AS action, "
+    + _by_case([None if path is None else f"'{path}'" for _, _, path, _ in SHAPED_CALLS]) + " AS path, "
+    + _by_case([None if cause is None else "-32602::BIGINT" for _, _, _, cause in SHAPED_CALLS]) + " AS code, "
+    + _by_case([None if cause is None else _with_text(f"Invalid {PREFIXES[t]} arguments: {cause}") for t, _, _, cause in SHAPED_CALLS]) + " AS message, "
+    + _by_case(["text" if "search" in t and not cause else None for t, _, _, cause in SHAPED_CALLS]) + " AS query, "
+    + _by_case([("'us-en'" if i == 1 else "'wt-wt'") if "search" in t and not cause else None for i, (t, _, _, cause) in enumerate(SHAPED_CALLS)]) + " AS region, "
+    + _by_case([("'OFF'" if i == 1 else "'MODERATE'") if "search" in t and not cause else None for i, (t, _, _, cause) in enumerate(SHAPED_CALLS)]) + " AS safe_search, "
+    + _by_case([("7::BIGINT" if i == 1 else "10::BIGINT") if "search" in t and not cause else None for i, (t, _, _, cause) in enumerate(SHAPED_CALLS)]) + " AS num_results, "
+    + _by_case(["'https://e.org/?q=' || text" if t == "visit_page" and not cause else None for t, _, _, cause in SHAPED_CALLS]) + " AS url, "
+    + _by_case(["'p.a'" if t == "visit_page" and not cause else None for t, _, _, cause in SHAPED_CALLS]) + " AS selector, "
+    + _by_case(["'https://e.org/'" if t == "crawl_site" and not cause else None for t, _, _, cause in SHAPED_CALLS]) + " AS root_url, "
+    + _by_case(["12::BIGINT" if t == "crawl_site" and not cause else None for t, _, _, cause in SHAPED_CALLS]) + " AS max_pages FROM src",
 )
 query("tool_envelope", "SELECT conv_id, turn, role AS t FROM {conversations}", lambda d: d.select("conv_id", "turn", requests.envelope("t", F.col("turn") % 2 == 0).alias("envelope")), """SELECT conv_id, turn, '{"content":[{"type":"text","text":"' || t || '"}],"isError":' || CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'false' END || '}' AS envelope FROM src""")
 

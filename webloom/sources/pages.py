@@ -43,9 +43,10 @@ def pdf_pages(pages: DataFrame, url: str = "url", body: str = "body") -> DataFra
     return own.select("url", urls.title_from_url("url").alias("title"), "content", text.word_count("content").alias("word_count"), F.lit(None).cast("array<struct<text:string,url:string>>").alias("links"))
 
 
-def html_pages(pages: DataFrame, url: str = "url", markup: str = "html", selector: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """url, title, content, word_count, links, error_kind, error of pages of markup; each is parsed once, and the markup goes no farther."""
-    page = dom.page(F.col(markup), F.col(url), None if selector is None else F.lit(selector))
+def html_pages(pages: DataFrame, url: str = "url", markup: str = "html", selector: str | F.Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """url, title, content, word_count, links, error_kind, error of pages of markup; each is parsed once, and the markup goes no
+    farther. The selector may be a column, null where a page has none."""
+    page = dom.page(F.col(markup), F.col(url), F.lit(selector) if isinstance(selector, str) else selector)
     return pages.select(*keep, F.col(url).alias("url"), page.alias("_p")).select(*keep, "url", "_p.*")
 
 

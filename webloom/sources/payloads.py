@@ -7,6 +7,7 @@ struct<title, url, description, content_type, source>. What does not parse gives
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -127,24 +128,50 @@ def duckduckgo(body: Name, n: Name) -> Column:
     return _taken(F.transform(good, lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url"), x["description"].alias("description"), classify.url_type(x["url"]).alias("content_type"), urls.domain(x["url"]).alias("source"))), n)
 
 
-SHAPERS: dict[str, Callable[[Name, Name], Column]] = {"serper": serper, "tavily": tavily, "bing": bing, "wikipedia": wikipedia, "stackoverflow": stackoverflow, "github": github, "wiby": wiby, "ddg-instant": ddg_instant, "duckduckgo": duckduckgo}
+#: Shapes that are expressions, and those that need a page parsed.
+PLAIN: dict[str, Callable[[Name, Name], Column]] = {"serper": serper, "tavily": tavily, "wikipedia": wikipedia, "stackoverflow": stackoverflow, "github": github, "wiby": wiby, "ddg-instant": ddg_instant}
+SCRAPED: dict[str, Callable[[Name, Name], Column]] = {"bing": bing, "duckduckgo": duckduckgo}
+SHAPERS = PLAIN | SCRAPED
+
+
+def _spread(answers: DataFrame, shape: Column, body: str) -> DataFrame:
+    others = [c for c in answers.columns if c not in (body, "source")]
+    return answers.select(*others, F.posexplode(shape).alias("pos", "_r")).select(*others, "pos", "_r.*")
 
 
 def results(answers: DataFrame, source: str, n: Name = "n", body: str = "body") -> DataFrame:
     """A row for each result of one source's answers: their other columns, pos, title, url, description, content_type, source."""
-    others = [c for c in answers.columns if c not in (body, "source")]
-    shaped = answers.select(*others, F.posexplode(SHAPERS[source](F.col(body), n)).alias("pos", "_r"))
-    rows = shaped.select(*others, "pos", "_r.*")
+    rows = _spread(answers, SHAPERS[source](F.col(body), n), body)
     return decoded_titles(rows) if source == "stackoverflow" else rows
 
 
-def all_results(answers: DataFrame, n: Name = "n", body: str = "body") -> DataFrame:
+def custom_results(answers: DataFrame, functions: dict[str, str], n: Name = "n", body: str = "body") -> DataFrame:
+    """Rows of sources of one's own: ``functions`` names a registered table function for each source.
+
+    The function takes a table (query_id, source_ord, n, body), dealt out by query_id, and yields query_id, source_ord, pos, title,
+    url, description, content_type. It is called by SQL, so it may be any polymorphic table function the session knows.
+    """
+    spark, parts = answers.sparkSession, []
+    for source, function in functions.items():
+        own = answers.filter(F.col("source") == source).select("query_id", F.col("source_ord").cast("int").alias("source_ord"), F.col(n).cast("int").alias("n") if isinstance(n, str) else n.cast("int").alias("n"), F.col(body).alias("body"))
+        called = spark.sql(f"SELECT * FROM `{function}`(TABLE(SELECT * FROM {{given}}) PARTITION BY query_id)", given=own)
+        blank = [_blank(F.col(c)).alias(c) for c in ("title", "url", "description")]
+        kind = F.coalesce(F.col("content_type"), F.lit("other")).alias("content_type")
+        rows = called.select("query_id", F.col("source_ord").cast("int").alias("source_ord"), F.col("pos").cast("int").alias("pos"), *blank, kind, F.lit(source).alias("source"))
+        asked = own.select("query_id", "source_ord", "n").distinct()
+        parts.append(rows.join(asked, ["query_id", "source_ord"]).filter(F.col("pos") < F.col("n")).withColumn("backend", F.lit(source)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def all_results(answers: DataFrame, n: Name = "n", body: str = "body", custom: dict[str, str] | None = None) -> DataFrame:
     """Of answers of many sources (column ``source``): each source's rows shaped by its own rule, with backend its name.
 
-    Answers are read once for the sources whose shapes are expressions, and once for each scraped one.
+    Answers of the sources whose shapes are expressions are read once, for one choice by source; those of each scraped source
+    once more, as its pages have to be parsed; and those of each source of one's own (``custom``: its table function) once.
     """
-    parts = [results(answers.filter(F.col("source") == name).withColumn("backend", F.lit(name)), name, n, body) for name in SHAPERS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    named = answers.withColumn("backend", F.col("source"))
+    shape = reduce(lambda out, name: out.when(F.col("source") == name, PLAIN[name](F.col(body), n)), PLAIN, F.when(F.lit(False), F.lit(None)))
+    parts = [decoded_titles(_spread(named.filter(F.col("source").isin(*PLAIN)), shape, body))]
+    parts += [results(named.filter(F.col("source") == name), name, n, body) for name in SCRAPED]
+    out = reduce(DataFrame.unionByName, parts)
+    return out.unionByName(custom_results(answers, custom, n, body).select(*out.columns)) if custom else out

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import rules
+from webloom.operators import asof
 
 
 def gathered(events: DataFrame, key: str, fresh: Column, *fields: str) -> DataFrame:
@@ -55,7 +56,7 @@ def success(ok: Column, results: Column) -> Column:
 
 
 def breaker(events: DataFrame, key: str = "backend", failures: int = rules.BREAKER_FAILURES, cooldown: int = rules.BREAKER_COOLDOWN) -> DataFrame:
-    """From events (key, t, n, ok: true, false or null): key, n, t, admitted, failures_after, open_after.
+    """From events (key, t, n, ok: true, false or null): key, n, t, admitted, failures_after, open_after, ok.
 
     A call is skipped while the circuit is open and the last failure is less than ``cooldown`` ago; then calls
     are admitted again, until one fails, which opens it anew, or succeeds, which closes it. A success after a pause
@@ -72,11 +73,11 @@ def breaker(events: DataFrame, key: str = "backend", failures: int = rules.BREAK
 
     def row(s: Column, e: Column) -> Column:
         after = moved(s, e)
-        return F.struct(e["n"].cast("long").alias("n"), e["t"].alias("t"), (~s["o"] | (e["t"] - s["f"] >= cooldown)).alias("a"), after["c"].alias("c"), after["o"].alias("o"))
+        return F.struct(e["n"].cast("long").alias("n"), e["t"].alias("t"), (~s["o"] | (e["t"] - s["f"] >= cooldown)).alias("a"), after["c"].alias("c"), after["o"].alias("o"), e["ok"].alias("ok"))
 
     stretches = gathered(events, key, F.col("ok") & (F.col("t") - F.col("_t") >= cooldown), "ok")
     rows = replayed(stretches, key, start, moved, row)
-    return rows.select(key, F.col("_r.n").alias("n"), F.col("_r.t").alias("t"), F.col("_r.a").alias("admitted"), F.col("_r.c").alias("failures_after"), F.col("_r.o").alias("open_after"))
+    return rows.select(key, F.col("_r.n").alias("n"), F.col("_r.t").alias("t"), F.col("_r.a").alias("admitted"), F.col("_r.c").alias("failures_after"), F.col("_r.o").alias("open_after"), F.col("_r.ok").alias("ok"))
 
 
 def with_retries(events: DataFrame) -> DataFrame:
@@ -123,9 +124,23 @@ def cache(events: DataFrame, key: str = "key", ttl: int = rules.CACHE_TTL, enabl
 
 
 def looked_up(requests: DataFrame, entries: DataFrame, key: str = "key", ttl: int = rules.CACHE_TTL) -> DataFrame:
-    """Requests (key, t) against stored entries (key, stored_at): add hit, by an equality join with a bound on the entry's age."""
-    live = entries.groupBy(key).agg(F.max("stored_at").alias("_s"))
-    return requests.join(live, key, "left").withColumn("hit", F.coalesce((F.col("t") >= F.col("_s")) & (F.col("t") - F.col("_s") < ttl), F.lit(False))).drop("_s")
+    """Requests (key, t) against stored entries (key, stored_at): add stored_at, that of the newest entry not after the request,
+    and hit, whether it is alive then. A key may have many entries; one stored after a request does not count for it."""
+    return asof.alive(requests, entries, key, "t", "stored_at", ttl)
+
+
+def split_by_cache(requests: DataFrame, entries: DataFrame, key: str = "key", ttl: int = rules.CACHE_TTL) -> tuple[DataFrame, DataFrame]:
+    """Requests that an entry alive answers, with its columns as ``entry``, and those that have to be run."""
+    found = asof.last_before(requests, entries, key, "t", "stored_at", ttl)
+    alive = F.coalesce(F.col("t") - F.col("entry.stored_at") < ttl, F.lit(False))
+    return found.filter(alive), found.filter(~alive).drop("entry")
+
+
+def open_stretches(trace: DataFrame, key: str = "backend", cooldown: int = rules.BREAKER_COOLDOWN) -> DataFrame:
+    """When circuits are open, from the breaker's rows (key, t, admitted, ok, open_after): key, open_from, open_until. A failure that
+    leaves a circuit open skips all calls for ``cooldown``, so stretches of a key do not overlap."""
+    failed = F.col("admitted") & ~F.col("ok") & F.col("open_after")
+    return trace.filter(failed).select(key, F.col("t").alias("open_from"), (F.col("t") + cooldown).alias("open_until"))
 
 
 def cache_stats(entries: DataFrame, as_of: int, ttl: int = rules.CACHE_TTL, capacity: int = rules.CACHE_ENTRIES, enabled: bool = True) -> DataFrame:

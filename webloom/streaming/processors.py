@@ -34,9 +34,9 @@ class Breaker(StatefulProcessor):
                 else:
                     count, last = count + 1, int(e.t)
                     is_open = is_open or count >= self.failures
-            out.append((key[0], int(e.n), int(e.t), admitted, count, is_open))
+            out.append((key[0], int(e.n), int(e.t), admitted, count, is_open, None if e.ok is None or pd.isna(e.ok) else bool(e.ok)))
         self.state.update((count, is_open, last))
-        yield pd.DataFrame(out, columns=["backend", "n", "t", "admitted", "failures_after", "open_after"])
+        yield pd.DataFrame(out, columns=["backend", "n", "t", "admitted", "failures_after", "open_after", "ok"])
 
     def close(self) -> None:
         pass
@@ -87,7 +87,7 @@ class Cache(StatefulProcessor):
 
 
 SCHEMAS = {
-    Breaker: "backend string, n long, t long, admitted boolean, failures_after int, open_after boolean",
+    Breaker: "backend string, n long, t long, admitted boolean, failures_after int, open_after boolean, ok boolean",
     Limiter: "backend string, n long, t long, admitted_at long",
     Cache: "key string, n long, t long, hit boolean, stored_at long",
 }
