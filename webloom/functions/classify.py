@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -93,16 +93,29 @@ def binary_mime(m: Name) -> Column:
     return known_binary(m) | (_c(m) == "application/pdf") | _c(m).startswith("application/vnd.")
 
 
-def sniffed(body: Name) -> Column:
-    """The content type that the first bytes tell; null if none."""
-    start = F.hex(F.substring(_c(body), 1, 8))
-    head = F.lower(F.decode(F.substring(_c(body), 1, 64), "ISO-8859-1"))
-    out = F.when(head.rlike(r"^\s*(<!doctype html|<html|<head|<body|<script|<title|<!--)"), "text/html").when(head.rlike(r"^\s*<\?xml"), "text/xml")
-    for magic, kind in rules.MAGIC:
-        out = F.when(start.startswith(magic), kind).otherwise(out)
+def sample_hex(parts: tuple[tuple[int, str], ...]) -> str:
+    """The shortest beginning that has a signature, in hexadecimal; what is between its parts is zero."""
+    out = ""
+    for at, own in parts:
+        out = out.ljust(2 * at, "0") + own
     return out
 
 
+def sniffed(body: Name) -> Column:
+    """The content type that a body's bytes tell, by the table of signatures and their places, then by markup; null if none."""
+    reach = max(at + len(own) // 2 for _, parts in rules.SIGNATURES for at, own in parts)
+
+    def told(x: Column) -> Column:
+        has = lambda at, own: F.substring(x["h"], 2 * at + 1, len(own)) == own
+        kinds = [F.when(reduce(and_, (has(at, own) for at, own in parts)), kind) for kind, parts in rules.SIGNATURES]
+        frame = F.when(F.substring(x["h"], 1, 4).isin(*rules.MPEG_FRAMES), "audio/mpeg")
+        markup = F.when(x["t"].rlike(r"^\s*(<!doctype html|<html|<head|<body|<script|<title|<!--)"), "text/html").when(x["t"].rlike(r"^\s*<\?xml"), "text/xml")
+        return F.coalesce(*kinds, frame, markup)
+
+    start = F.struct(F.hex(F.substring(_c(body), 1, reach)).alias("h"), F.lower(F.decode(F.substring(_c(body), 1, 64), "ISO-8859-1")).alias("t"))
+    return F.transform(F.array(start), told)[0]  # the bytes are looked at once
+
+
 def body_fits(body: Name) -> Column:
     return F.octet_length(_c(body)) <= rules.MAX_BODY
 

@@ -63,24 +63,56 @@ BINARY_EXACT = ("application/zip", "application/gzip", "application/x-tar", "app
 MAX_BODY = 10 * 1024 * 1024
 MAX_LINKS = 50
 
-# -- fixed values: first bytes, in hexadecimal, and the content type they tell.
-MAGIC = (
-    ("25504446", "application/pdf"),
-    ("FFD8FF", "image/jpeg"),
-    ("89504E47", "image/png"),
-    ("47494638", "image/gif"),
-    ("504B0304", "application/zip"),
-    ("1F8B08", "application/gzip"),
-    ("FFFB", "audio/mpeg"),
-    ("494433", "audio/mpeg"),
-    ("4F676753", "audio/ogg"),
-    ("424D", "image/bmp"),
-    ("1A45DFA3", "video/x-matroska"),
+# -- fixed values: content types and the bytes that tell them, as (offset, hexadecimal); all of a row's have to be there, the
+# first row counts.
+SIGNATURES = (
+    ("application/pdf", ((0, "25504446"),)),
+    ("image/jpeg", ((0, "FFD8FF"),)),
+    ("image/png", ((0, "89504E470D0A1A0A"),)),
+    ("image/gif", ((0, "47494638"),)),
+    ("image/webp", ((0, "52494646"), (8, "57454250"))),
+    ("image/tiff", ((0, "49492A00"),)),
+    ("image/bmp", ((0, "424D"),)),
+    ("image/vnd.microsoft.icon", ((0, "00000100"),)),
+    ("image/avif", ((4, "6674797061766966"),)),
+    ("image/heif", ((4, "6674797068656963"),)),
+    ("audio/m4a", ((4, "667479704D3441"),)),
+    ("video/quicktime", ((4, "6674797071742020"),)),
+    ("video/mp4", ((4, "66747970"),)),
+    ("audio/x-wav", ((0, "52494646"), (8, "57415645"))),
+    ("video/x-msvideo", ((0, "52494646"), (8, "415649"))),
+    ("audio/mpeg", ((0, "494433"),)),
+    ("audio/ogg", ((0, "4F676753"),)),
+    ("audio/x-flac", ((0, "664C6143"),)),
+    ("audio/midi", ((0, "4D546864"),)),
+    ("video/webm", ((0, "1A45DFA3"), (24, "7765626D"))),
+    ("video/x-matroska", ((0, "1A45DFA3"),)),
+    ("video/x-flv", ((0, "464C5601"),)),
+    ("application/epub+zip", ((0, "504B0304"), (30, "6D696D65747970656170706C69636174696F6E2F657075622B7A6970"))),
+    ("application/vnd.oasis.opendocument.text", ((0, "504B0304"), (30, "6D696D65747970656170706C69636174696F6E2F766E642E6F617369732E6F70656E646F63756D656E742E74657874"))),
+    ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", ((0, "504B0304"), (30, "776F72642F"))),
+    ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", ((0, "504B0304"), (30, "786C2F"))),
+    ("application/vnd.openxmlformats-officedocument.presentationml.presentation", ((0, "504B0304"), (30, "7070742F"))),
+    ("application/zip", ((0, "504B0304"),)),
+    ("application/gzip", ((0, "1F8B08"),)),
+    ("application/x-bzip2", ((0, "425A68"),)),
+    ("application/x-xz", ((0, "FD377A585A00"),)),
+    ("application/zstd", ((0, "28B52FFD"),)),
+    ("application/x-7z-compressed", ((0, "377ABCAF271C"),)),
+    ("application/vnd.rar", ((0, "526172211A07"),)),
+    ("application/x-tar", ((257, "7573746172"),)),
+    ("application/vnd.sqlite3", ((0, "53514C69746520666F726D6174203300"),)),
+    ("application/wasm", ((0, "0061736D"),)),
+    ("font/woff2", ((0, "774F4632"),)),
+    ("font/woff", ((0, "774F4646"),)),
+    ("application/msword", ((0, "D0CF11E0A1B11AE1"),)),
 )
+#: Frames of MPEG audio begin with eleven ones, the layer and a bit for a checksum.
+MPEG_FRAMES = ("FFFB", "FFF3", "FFF2", "FFFA")
 
 # -- fixed values: where a site's map may be, in this order.
 SITEMAPS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-index.xml", "/wp-sitemap.xml")
-MAX_PAGES, MAX_CONCURRENCY = 500, 16
+MAX_PAGES, MAX_CONCURRENCY, DEFAULT_PAGES = 500, 16, 25
 
 # -- fixed values: sources in their order: name, whether a key is needed, limiter class.
 SOURCES = (

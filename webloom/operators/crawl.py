@@ -63,3 +63,15 @@ def crawl(roots: DataFrame, maps: DataFrame, pages: DataFrame) -> DataFrame:
     summary = F.struct(F.col("max_pages").cast("long").alias("requested"), count("_ok").alias("fetched"), count("_bad").alias("failed"))
     empty = lambda c: F.coalesce(F.col(c), F.array().cast(sums.schema[c].dataType))
     return out.select(F.col("root").alias("root_url"), "sitemap_found", summary.alias("summary"), empty("pages").alias("pages"), empty("errors").alias("errors"))
+
+
+def counts_over_time(fetches: DataFrame, span: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """root_url, since, requested, fetched, failed: how fetches (root_url, fetched_at, error) went, by spans of their time.
+
+    On a stream the counts go on being updated: a span's counts are kept until fetches are ``late`` past its end; those that
+    come later still are dropped. Over a table all count.
+    """
+    known = fetches.withWatermark("fetched_at", late) if fetches.isStreaming else fetches
+    bad = F.col("error").isNotNull()
+    sums = known.groupBy(F.window("fetched_at", span).alias("_w"), "root_url").agg(F.count(F.lit(1)).alias("requested"), F.count_if(~bad).alias("fetched"), F.count_if(bad).alias("failed"))
+    return sums.select("root_url", F.col("_w.start").alias("since"), "requested", "fetched", "failed")

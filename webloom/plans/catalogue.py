@@ -16,7 +16,7 @@ from webloom.functions import classify, dom, rules, text
 from webloom.functions import url as urls
 from webloom.operators import crawl, merge, render, requests
 from webloom.sources import pages as captured
-from webloom.sources import payloads, registry
+from webloom.sources import payloads, registry, shared
 from webloom.streaming import folds
 
 TABLES = ("pages", "documents", "events", "conversations", "region", "benchmark")
@@ -171,7 +171,17 @@ def _bodies(d: DataFrame) -> DataFrame:
 
 query("mime_normalize", HEADERS, lambda d: d.select("page_id", classify.mime("header").alias("mime"), classify.known_binary("header").alias("known_binary")), "SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'text/html' WHEN 6 THEN 'application/zip' ELSE header END AS mime, page_id % 8 IN (2, 6) AS known_binary FROM src")
 query("mime_route", HEADERS, _bodies, "SELECT page_id, CASE page_id % 8 WHEN 1 THEN 'pdf' WHEN 2 THEN 'binary' WHEN 3 THEN 'binary' WHEN 4 THEN 'binary' WHEN 6 THEN 'binary' WHEN 7 THEN 'pdf' ELSE 'html' END AS kind, CASE page_id % 8 WHEN 2 THEN 'image/png' WHEN 3 THEN 'image/jpeg' WHEN 4 THEN 'application/x-unknown' WHEN 6 THEN 'application/zip' END AS mime FROM src")
-query("size_guard", "SELECT page_id, html FROM {pages}", lambda d: d.select("page_id", classify.body_fits(F.when(F.col("page_id") % 10 == 0, F.repeat(F.lit("x"), 10485761)).when(F.col("page_id") % 10 == 1, F.repeat(F.lit("x"), 10485760)).otherwise(F.col("html"))).alias("fits")), "SELECT page_id, page_id % 10 <> 0 AS fits FROM src")
+def _made_binary(d: DataFrame) -> DataFrame:
+    """Each page's body behind the bytes that tell a kind, one kind after the other."""
+    heads = F.array(*(F.lit(classify.sample_hex(parts)) for _, parts in rules.SIGNATURES))
+    body = F.concat(F.unhex(heads[(F.col("page_id") % len(rules.SIGNATURES)).cast("int")]), F.col("html").cast("binary"))
+    return d.withColumn("body", body).select("page_id", classify.sniffed("body").alias("kind"), F.octet_length("body").cast("long").alias("size"))
+
+
+KINDS_SQL = "[" + ", ".join(f"'{kind}'" for kind, _ in rules.SIGNATURES) + f"][page_id % {len(rules.SIGNATURES)} + 1]"
+HEADS_SQL = "[" + ", ".join(str(len(classify.sample_hex(parts)) // 2) for _, parts in rules.SIGNATURES) + f"][page_id % {len(rules.SIGNATURES)} + 1]"
+query("mime_signatures", "SELECT page_id, html FROM {pages}", _made_binary, f"SELECT page_id, {KINDS_SQL} AS kind, strlen(html) + {HEADS_SQL} AS size FROM src")
+query("size_guard", "SELECT page_id, html FROM {pages}", lambda d: d.select("page_id", classify.body_fits(F.when(F.col("page_id") == 0, F.repeat(F.lit("x"), 10485761)).when(F.col("page_id") == 1, F.repeat(F.lit("x"), 10485760)).otherwise(F.col("html"))).alias("fits")), "SELECT page_id, page_id <> 0 AS fits FROM src")
 
 # ---- pages
 
@@ -206,7 +216,7 @@ query(
     lambda d: d.select("page_id", F.posexplode(dom.page_links("html", "url")).alias("i", "l")).select("page_id", F.col("i").alias("pos"), F.col("l.text").alias("label"), F.col("l.url").alias("target")),
     ", " + ANCHORS + " SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, label, target FROM firsts WHERE strlen(label) > 2",
 )
-query("same_origin_links", PAGES, lambda d: d.select("page_id", F.posexplode(dom.same_origin_links("html", "url", F.lit(3))).alias("pos", "target")), ", " + ANCHORS + " SELECT page_id, pos, target FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, target FROM firsts) WHERE pos < 3")
+query("same_origin_links", PAGES, lambda d: d.select("page_id", F.posexplode(dom.same_origin_links("html", "url", F.lit(2 * rules.DEFAULT_PAGES))).alias("pos", "target")), ", " + ANCHORS + " SELECT page_id, pos, target FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos, target FROM firsts) WHERE pos < 50")
 
 # ---- crawls: site maps are made of the pages' URLs, by host
 
@@ -225,21 +235,44 @@ def _site(d: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return roots, hosts.filter(mapped).select(F.concat(F.lit("https://"), F.col("host"), place).alias("url"), body.alias("body")), d.select("url", "html")
 
 
-MAPPED = """hosts AS (SELECT host, length(host) % 2 = 0 OR length(host) % 3 = 0 AS mapped, min_by(url, page_id) AS first FROM src GROUP BY host),
+# Roots without a map have their first page's links of the same origin, twice as many as pages are wanted.
+CANDIDATES = f"""{ANCHORS}, hosts AS (SELECT host, length(host) % 2 = 0 OR length(host) % 3 = 0 AS mapped, min_by(url, page_id) AS first, min(page_id) AS first_id FROM src GROUP BY host),
+  roots AS (SELECT host, mapped, first_id, CASE WHEN mapped THEN 'https://' || host ELSE first END AS root FROM hosts),
   listed AS (SELECT host, url, min(page_id) AS seen FROM src GROUP BY host, url UNION ALL SELECT host, 'https://' || host || '/missing', 1e9 FROM hosts WHERE NOT EXISTS (SELECT 1 FROM src s WHERE s.url = 'https://' || hosts.host || '/missing')),
-  maps AS (SELECT 'https://' || host AS root, row_number() OVER (PARTITION BY host ORDER BY seen) - 1 AS pos, url FROM listed JOIN hosts USING (host) WHERE mapped),
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY greatest(1, strlen(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1))), pos) AS rank FROM maps)"""
-query("sitemap_probe", SITES, lambda d: captured.site_maps(_site(d)[0], _site(d)[1]).select("root", F.posexplode("urls").alias("pos", "url")), ", " + MAPPED + " SELECT root, pos, url FROM maps")
-query("crawl_rank", SITES, lambda d: crawl.ranked(crawl.discover(*_site(d)).filter("sitemap_found")).select("root", "rank", "url"), ", " + MAPPED + " SELECT root, rank, url FROM ranked WHERE rank <= 4")
-query("crawl_errors", SITES, lambda d: crawl.crawl(*_site(d)).filter("sitemap_found").select("root_url", F.explode("errors").alias("e")).select("root_url", "e.url", "e.error"), ", " + MAPPED + " SELECT root AS root_url, url, 'Failed to fetch page: HTTP 404 Not Found' AS error FROM ranked WHERE rank <= 4 AND url NOT IN (SELECT url FROM src)")
-query("crawl_summary", SITES, lambda d: crawl.crawl(*_site(d)).filter("sitemap_found").select("root_url", "summary.*"), ", " + MAPPED + " SELECT root AS root_url, 4::BIGINT AS requested, count(*) FILTER (WHERE url IN (SELECT url FROM src)) AS fetched, count(*) FILTER (WHERE url NOT IN (SELECT url FROM src)) AS failed FROM ranked WHERE rank <= 4 GROUP BY root")
+  maps AS (SELECT root, row_number() OVER (PARTITION BY host ORDER BY seen) - 1 AS pos, url FROM listed JOIN roots USING (host) WHERE mapped),
+  linked AS (SELECT root, row_number() OVER (PARTITION BY root ORDER BY pos) - 1 AS pos, target AS url FROM roots JOIN firsts ON page_id = first_id WHERE NOT mapped),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY greatest(1, strlen(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1))), pos) AS rank FROM (SELECT * FROM maps UNION ALL SELECT * FROM linked WHERE pos < 8))"""
+query("sitemap_probe", SITES, lambda d: captured.site_maps(_site(d)[0], _site(d)[1]).select("root", F.posexplode("urls").alias("pos", "url")), ", " + CANDIDATES + " SELECT root, pos, url FROM maps")
+query("crawl_rank", SITES, lambda d: crawl.ranked(crawl.discover(*_site(d))).select("root", "sitemap_found", "rank", "url"), ", " + CANDIDATES + " SELECT root, mapped AS sitemap_found, rank, url FROM ranked JOIN roots USING (root) WHERE rank <= 4")
+query("crawl_errors", SITES, lambda d: crawl.crawl(*_site(d)).select("root_url", F.explode("errors").alias("e")).select("root_url", "e.url", "e.error"), ", " + CANDIDATES + " SELECT root AS root_url, url, 'Failed to fetch page: HTTP 404 Not Found' AS error FROM ranked WHERE rank <= 4 AND url NOT IN (SELECT url FROM src)")
+query(
+    "crawl_summary",
+    SITES,
+    lambda d: crawl.crawl(*_site(d)).select("root_url", "sitemap_found", "summary.*"),
+    ", " + CANDIDATES + " SELECT roots.root AS root_url, mapped AS sitemap_found, 4::BIGINT AS requested, count(url) FILTER (WHERE url IN (SELECT url FROM src)) AS fetched, count(url) FILTER (WHERE url NOT IN (SELECT url FROM src)) AS failed FROM roots LEFT JOIN ranked ON ranked.root = roots.root AND rank <= 4 GROUP BY ALL",
+)
+query(
+    "crawl_pages",
+    SITES,
+    lambda d: crawl.crawl(*_site(d)).select("root_url", F.posexplode("pages").alias("pos", "p")).select("root_url", "pos", "p.url", "p.title"),
+    ", " + CANDIDATES + f" SELECT root AS root_url, row_number() OVER (PARTITION BY root ORDER BY rank) - 1 AS pos, ranked.url, {_cut(TITLE_SQL)} AS title FROM ranked JOIN src ON src.url = ranked.url WHERE rank <= 4",
+)
 query("crawl_site", SITES, lambda d: crawl.crawl(*_site(d)).select("root_url", "sitemap_found", F.size("pages").alias("n_pages"), F.size("errors").alias("n_errors"), F.md5(F.to_json("pages")).alias("pages_md5")))
+
+
+def _sitemap_entries(d: DataFrame) -> DataFrame:
+    folder = shared.folder(d.sparkSession, "maps")
+    captured.write_site_maps(d.select("host", "page_id", F.col("url").alias("loc")), folder, "host", "page_id")
+    return captured.read_site_maps(d.sparkSession, folder).select("host", "pos", "url")
+
+
+query("sitemap_entries", SITES, _sitemap_entries, "SELECT host, row_number() OVER (PARTITION BY host ORDER BY seen) - 1 AS pos, url FROM (SELECT host, url, min(page_id) AS seen FROM src GROUP BY host, url)")
 query("crawl_clamps", "SELECT page_id, CAST(page_id % 5 * 300 - 10 AS INT) AS n FROM {pages}", lambda d: d.select("page_id", crawl.clamped_pages("n").alias("pages"), crawl.clamped_concurrency("n").alias("concurrency")), "SELECT page_id, greatest(1, least(n, 500))::BIGINT AS pages, greatest(1, least(n, 16))::BIGINT AS concurrency FROM src")
 
 # ---- results of sources. Documents stand for results, their sources for sources.
 
-RESULTS = """SELECT doc_id, doc_id % 40 AS query_id, CAST(substr(source, 4) AS INT) % 9 AS source_ord, 'b' || CAST(CAST(substr(source, 4) AS INT) % 9 AS STRING) AS source, doc_id AS pos,
-  'https://r.example/' || CAST(doc_id * 7 % 53 AS STRING) AS url, left(text, 40) AS title, text AS description, 'article' AS content_type FROM {documents}"""
+RESULTS = """SELECT doc_id, CAST(floor(doc_id / 50) AS BIGINT) AS query_id, CAST(substr(source, 4) AS INT) % 9 AS source_ord, 'b' || CAST(CAST(substr(source, 4) AS INT) % 9 AS STRING) AS source, doc_id AS pos,
+  'https://r.example/' || CAST(doc_id * 7 % 23 AS STRING) AS url, text AS title, text AS description, 'article' AS content_type FROM {documents}"""
 MERGE_COLUMNS = ("query_id", "source_ord", "pos", "url", "title", "description", "content_type", "source")
 LISTS = """lists AS (SELECT query_id, list(l ORDER BY source_ord) AS ls FROM (SELECT query_id, source_ord, list({'u': url, 'd': doc_id, 's': source} ORDER BY pos) AS l FROM src GROUP BY ALL) GROUP BY query_id),
   merged AS (SELECT query_id, list_reduce(range(len(ls) * list_max(list_transform(ls, lambda l: len(l)))), lambda acc, k: acc || list_filter(ls[k % len(ls) + 1], lambda x: NOT list_contains(list_transform(acc, lambda y: y.u), x.u))[1:1], list_filter(ls[1], lambda x: FALSE)) AS m FROM lists)"""
@@ -254,7 +287,7 @@ query(
 )
 query("interleave_merge", RESULTS, lambda d: merge.merge(d.select(*MERGE_COLUMNS, "doc_id"), 1000).select("query_id", "rank", "url", "doc_id", "source"), ", " + LISTS + " SELECT query_id, i AS rank, m[i].u AS url, m[i].d AS doc_id, m[i].s AS source FROM (SELECT query_id, m, unnest(range(1, len(m) + 1)) AS i FROM merged)")
 query("interleave_topk", RESULTS, lambda d: merge.merge(d.select(*MERGE_COLUMNS), 10).select("query_id", "rank", "url"), ", " + LISTS + " SELECT query_id, i AS rank, m[i].u AS url FROM (SELECT query_id, m, unnest(range(1, least(10, len(m)) + 1)) AS i FROM merged)")
-SPARSE = """SELECT doc_id, doc_id % 40 AS query_id, CAST(row_number() OVER (PARTITION BY doc_id % 40 ORDER BY doc_id) AS INT) AS rank, 'https://r.example/' || CAST(doc_id * 2 AS STRING) AS url, left(text, CAST(doc_id % 200 AS INT)) AS description FROM {documents}"""
+SPARSE = """SELECT doc_id, CAST(floor(doc_id / 8) AS BIGINT) AS query_id, CAST(doc_id % 8 + 1 AS INT) AS rank, 'https://r.example/' || CAST(doc_id * 2 AS STRING) AS url, CASE WHEN doc_id % 3 = 0 THEN source ELSE text END AS description FROM {documents}"""
 SNIPPETS = "SELECT 'https://r.example/' || CAST(doc_id AS STRING) AS url, min(left(text, 300)) AS page FROM {documents} GROUP BY doc_id"
 query(
     "enrich_sparse",
@@ -292,8 +325,9 @@ ORACLES["source_registry"] = "SELECT * FROM (VALUES (1::BIGINT, 'tavily'), (2, '
 
 # ---- answers of sources, made of documents
 
-ITEMS = """SELECT doc_id, doc_id % 25 AS query_id, CAST(3 + doc_id % 25 % 4 * 10 AS INT) AS n, replace(left(text, 30), chr(10), ' ') AS title, 'https://ex.org/' || CAST(doc_id AS STRING) AS url,
-  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE replace(left(text, 60), chr(10), ' ') END AS snippet, doc_id * 7 % 101 AS stars, row_number() OVER (PARTITION BY doc_id % 25 ORDER BY doc_id) - 1 AS i FROM {documents}"""
+ITEMS = """SELECT doc_id, query_id, CAST(3 + query_id % 4 * 10 AS INT) AS n, replace(text, chr(10), ' ') AS title, 'https://ex.org/' || CAST(doc_id AS STRING) AS url,
+  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE replace(text, chr(10), ' ') END AS snippet, doc_id * 7 % 101 AS stars, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) - 1 AS i
+  FROM (SELECT *, CAST(floor(doc_id / 40) AS BIGINT) AS query_id FROM {documents}) AS t"""
 
 
 def answers(source: str, item: Callable[[], F.Column], wrap: Callable[[F.Column], F.Column]) -> Callable[[DataFrame], DataFrame]:
@@ -350,6 +384,28 @@ query(
     "SELECT query_id, i AS pos, trim(regexp_replace(regexp_replace(title, '[&<>]', '', 'g'), '\\s+', ' ', 'g')) AS title, url, trim(regexp_replace(regexp_replace(coalesce(snippet, ''), '[&<>]', '', 'g'), '\\s+', ' ', 'g')) AS description, 'article' AS content_type, 'ex.org' AS source FROM src WHERE i < n",
 )
 
+# A source of one's own: its answers are tab-separated lines, and a table function makes rows of them.
+
+
+def _own_source(d: DataFrame) -> DataFrame:
+    d.sparkSession.udtf.register("webloom_tabbed", payloads.tabbed())
+    line = F.concat_ws("\t", F.regexp_replace("title", "\\s+", " "), "url", F.coalesce("snippet", F.lit("")))
+    listed = d.groupBy("query_id", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("x")))), lambda y: y["x"]), "\n").alias("body"))
+    own = listed.withColumns({"source": F.lit("own"), "source_ord": F.lit(9)})
+    plain = d.groupBy("query_id", "n").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("i", F.col("title").alias("Title"), "url"))), lambda y: F.struct(y["Title"].alias("Title"), F.concat(F.substring_index(y["url"], "/", 3), F.lit("/w"), y["i"].cast("string")).alias("URL")))).alias("body"))
+    answers = own.unionByName(plain.withColumns({"source": F.lit("wiby"), "source_ord": F.lit(6)}))
+    rows = payloads.all_results(answers, custom={"own": "webloom_tabbed"})
+    return merge.merge(rows.drop("backend"), F.col("n")).select("query_id", "rank", "url", "title", "source")
+
+
+query(
+    "own_source",
+    ITEMS,
+    _own_source,
+    """, rows_ AS (SELECT query_id, n, i AS pos, 0 AS o, 'https://ex.org/w' || i AS url, title, 'wiby' AS source FROM src WHERE i < n UNION ALL SELECT query_id, n, i, 1, url, trim(regexp_replace(title, '\\s+', ' ', 'g')), 'own' FROM src WHERE i < n)
+    SELECT query_id, rank, url, title, source FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, o) AS rank FROM rows_) WHERE rank <= n""",
+)
+
 # ---- state over time. Cooldowns and periods are as much longer than usual as the events are farther apart.
 
 HOUR = 3_600_000_000
@@ -439,6 +495,14 @@ state(
       WHEN NOT any_success THEN 'All ' || tried || ' search backends returned 0 results (tried: ' || names || ')' || coalesce('; open circuits: [' || opened || ']', '') END AS error FROM sums""",
 )
 
+FETCHES = "SELECT 'https://h' || CAST(user_id % 40 AS STRING) || '.example/' AS root_url, ts AS fetched_at, CASE WHEN event_type = 'error' THEN 'HTTP 503' END AS error FROM {events}"
+query(
+    "crawl_counts",
+    FETCHES,
+    lambda d: crawl.counts_over_time(d, "6 hours", "1 hour").select("root_url", F.date_format("since", "yyyy-MM-dd HH").alias("since"), "requested", "fetched", "failed"),
+    "SELECT root_url, strftime(time_bucket(INTERVAL 6 HOURS, fetched_at, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H') AS since, count(*) AS requested, count(*) FILTER (WHERE error IS NULL) AS fetched, count(error) AS failed FROM src GROUP BY ALL",
+)
+
 # ---- requests, made of conversations
 
 LINES = """SELECT conv_id, turn, CASE (conv_id + turn) % 13 WHEN 0 THEN '{{"jsonrpc":"2.0","id":1,"method":"ping"}}' WHEN 1 THEN '{{"jsonrpc":"2.0","id":"a","method":"initialize","params":{{}}}}' WHEN 2 THEN '{{"jsonrpc":"2.0","method":"notifications/initialized"}}'

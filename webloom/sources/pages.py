@@ -1,7 +1,7 @@
 """Captured pages as a source, and site maps among them.
 
-``webloom_pages`` is a Spark data source of one's own: it lists files of a folder that hold a page each and
-reads them with their content type by file name, one partition a file. Tables of pages need no such thing.
+Pages come from tables, from files of a folder, or, where there is a network, from ``webloom_pages``, a Spark data source
+of one's own that fetches URLs: filters on URLs and hosts reach it before anything is fetched.
 """
 
 from __future__ import annotations
@@ -53,7 +53,11 @@ def html_pages(pages: DataFrame, url: str = "url", markup: str = "html", selecto
 def site_map(body: str) -> F.Column:
     """URLs between <loc> and </loc>, trimmed, absolute ones only, the first of each kept, in their order."""
     found = F.transform(F.regexp_extract_all(F.col(body), F.lit(r"(?s)<loc>(.*?)</loc>"), 1), text.trim)
-    return F.array_distinct(F.filter(found, lambda u: u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$") & F.coalesce(urls.part(u, "PROTOCOL").isNotNull(), F.lit(False))))
+    return F.array_distinct(F.filter(found, _absolute))
+
+
+def _absolute(u: F.Column) -> F.Column:
+    return u.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$") & F.coalesce(urls.part(u, "PROTOCOL").isNotNull(), F.lit(False))
 
 
 def site_maps(roots: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -65,34 +69,93 @@ def site_maps(roots: DataFrame, bodies: DataFrame) -> DataFrame:
     return tried.join(listed, "url").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("root", "urls")
 
 
+#: URLs of a site map's file, by the protocol.
+MAP_URLS = 50_000
+
+
+def write_site_maps(urls: DataFrame, path: str, site: str, order: str) -> None:
+    """Site maps as XML files below a folder for each site, of at most MAP_URLS entries each, in their order: urls (site, order, loc)."""
+    rank = F.row_number().over(Window.partitionBy(site).orderBy(order)) - 1
+    cut = urls.filter(F.col("loc").isNotNull()).withColumn("_file", F.floor(rank / MAP_URLS))
+    dealt = cut.repartition(site, "_file").sortWithinPartitions(site, "_file", order)
+    dealt.select(F.col(site).alias("site"), F.format_string("%05d", "_file").alias("part"), "loc").write.partitionBy("site", "part").format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
+
+
+def read_site_maps(spark: SparkSession, path: str, site: str = "host") -> DataFrame:
+    """site, pos, url of XML site maps below a folder for each site: absolute URLs, trimmed, the first of each, by place in the files.
+
+    Spark's XML reader scans for entries and splits long files, so no map is ever one value; an entry's place is its file's,
+    its block's, and its own in the block.
+    """
+    rows = spark.read.format("xml").schema("loc string, site string, part string").option("rowTag", "url").load(path)
+    at = F.struct("part", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    entry = rows.select(F.col("site").alias(site), text.trim(F.col("loc")).alias("url"), at.alias("_at"))
+    first = entry.filter(_absolute(F.col("url"))).groupBy(site, "url").agg(F.min("_at").alias("_at"))
+    return first.select(site, (F.row_number().over(Window.partitionBy(site).orderBy("_at")) - 1).alias("pos"), "url")
+
+
+#: URLs of one host that a task fetches, one after the other.
+HOST_URLS = 50
+
+
 def register_pages_source(spark: SparkSession) -> None:
-    """Make ``spark.read.format("webloom_pages").option("urls", "a b c")`` known: a live fetch of the URLs named, one partition each.
+    """Make ``spark.read.format("webloom_pages").option("urls", "a b c")`` known: a live fetch of the URLs named.
 
-    It needs a network; a page that cannot be had is a row with its error.
+    Columns: url, host, status, content_type, body, error. URLs are dealt out by host, HOST_URLS a task. Filters on url and
+    host (equality, lists, beginnings) are taken over where spark.sql.python.filterPushdown.enabled is set: what they leave
+    out is not fetched. Spark keeps a load's filters for later queries of the same load, so each query takes a load of its
+    own, as ``live_pages`` does. A body beyond the limit, by its header or by its bytes, and a page that cannot be had are rows with
+    their error; nulls stand for what is not known.
     """
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+    from urllib.parse import urlsplit
+
+    from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, StringStartsWith
 
-    class Url(InputPartition):
-        def __init__(self, url: str):
-            self.url = url
+    most, each = rules.MAX_BODY, HOST_URLS
+
+    class Host(InputPartition):
+        def __init__(self, urls: list[str]):
+            self.urls = urls
 
     class Reader(DataSourceReader):
         def __init__(self, options: dict):
             self.urls, self.timeout = options.get("urls", "").split(), float(options.get("timeout", "30"))
 
+        def pushFilters(self, filters: list) -> Iterator:
+            for f in filters:
+                name = getattr(f, "attribute", None)
+                of = {("url",): lambda u: u, ("host",): lambda u: urlsplit(u).hostname}.get(name)
+                if of and isinstance(f, EqualTo):
+                    self.urls = [u for u in self.urls if of(u) == f.value]
+                elif of and isinstance(f, In):
+                    self.urls = [u for u in self.urls if of(u) in f.value]
+                elif of and isinstance(f, StringStartsWith):
+                    self.urls = [u for u in self.urls if (of(u) or "").startswith(f.value)]
+                else:
+                    yield f
+
         def partitions(self) -> list:
-            return [Url(u) for u in self.urls]
+            hosts: dict = {}
+            for u in dict.fromkeys(self.urls):
+                hosts.setdefault(urlsplit(u).hostname, []).append(u)
+            return [Host(own[i : i + each]) for own in hosts.values() for i in range(0, len(own), each)]
 
-        def read(self, partition: Url) -> Iterator[tuple]:
+        def read(self, partition: Host) -> Iterator[tuple]:
             from urllib.error import URLError
             from urllib.request import Request, urlopen
 
-            try:
-                with urlopen(Request(partition.url, headers={"User-Agent": "webloom"}), timeout=self.timeout) as got:
-                    body = got.read(rules.MAX_BODY + 1)
-                    yield partition.url, got.status, got.headers.get("Content-Type", ""), body, None
-            except (URLError, OSError, ValueError) as e:
-                yield partition.url, getattr(e, "code", None), None, None, str(e)
+            for u in partition.urls if partition else ():
+                host = urlsplit(u).hostname
+                try:
+                    with urlopen(Request(u, headers={"User-Agent": "webloom"}), timeout=self.timeout) as got:
+                        kind, large = got.headers.get("Content-Type", ""), int(got.headers.get("Content-Length") or 0) > most
+                        body = b"" if large else got.read(most + 1)
+                        if large or len(body) > most:
+                            yield u, host, got.status, kind, None, f"body of more than {most} bytes"
+                        else:
+                            yield u, host, got.status, kind, body, None
+                except (URLError, OSError, ValueError) as e:
+                    yield u, host, getattr(e, "code", None), None, None, str(e)
 
     class Pages(DataSource):
         @classmethod
@@ -100,9 +163,15 @@ def register_pages_source(spark: SparkSession) -> None:
             return "webloom_pages"
 
         def schema(self) -> str:
-            return "url string, status int, content_type string, body binary, error string"
+            return "url string, host string, status int, content_type string, body binary, error string"
 
         def reader(self, schema) -> DataSourceReader:
             return Reader(dict(self.options))
 
     spark.dataSource.register(Pages)
+
+
+def live_pages(spark: SparkSession, urls: list[str], where: F.Column | None = None, timeout: float = 30) -> DataFrame:
+    """A load of ``webloom_pages`` for one query, of URLs that ``where`` leaves."""
+    pages = spark.read.format("webloom_pages").option("urls", " ".join(urls)).option("timeout", str(timeout)).load()
+    return pages if where is None else pages.filter(where)

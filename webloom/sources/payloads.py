@@ -175,3 +175,17 @@ def all_results(answers: DataFrame, n: Name = "n", body: str = "body", custom: d
     parts += [results(named.filter(F.col("source") == name), name, n, body) for name in SCRAPED]
     out = reduce(DataFrame.unionByName, parts)
     return out.unionByName(custom_results(answers, custom, n, body).select(*out.columns)) if custom else out
+
+
+def tabbed():
+    """A table function for a source whose answers are lines of title, URL and description, parted by tabs; to be registered."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="query_id long, source_ord int, pos int, title string, url string, description string, content_type string")
+    class Tabbed:
+        def eval(self, row):
+            for i, line in enumerate(x for x in (row["body"] or "").split("\n") if x):
+                title, url, note = (*line.split("\t", 2), "", "")[:3]
+                yield row["query_id"], row["source_ord"], i, title, url, note, None
+
+    return Tabbed

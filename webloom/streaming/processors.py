@@ -1,6 +1,7 @@
 """The folds' twins on streams: keyed state, event by event, as Spark's stateful processors.
 
-Events of a key must come in the order of time, as they do from an ordered source; within a batch they are sorted.
+Events of a key must come in the order of time, as they do from an ordered source; within a batch they are sorted. With
+``idle_ms`` the state of keys that nothing has written to for so long, by the clock, is dropped.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from webloom.functions import rules
 class Breaker(StatefulProcessor):
     """State: failures in a row, whether open, time of the last failure."""
 
-    def __init__(self, failures: int = rules.BREAKER_FAILURES, cooldown: int = rules.BREAKER_COOLDOWN):
-        self.failures, self.cooldown = failures, cooldown
+    def __init__(self, failures: int = rules.BREAKER_FAILURES, cooldown: int = rules.BREAKER_COOLDOWN, idle_ms: int | None = None):
+        self.failures, self.cooldown, self.idle_ms = failures, cooldown, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("health", "failures int, is_open boolean, last_failure bigint")
+        self.state = handle.getValueState("health", "failures int, is_open boolean, last_failure bigint", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         count, is_open, last = self.state.get() if self.state.exists() else (0, False, 0)
@@ -45,11 +46,11 @@ class Breaker(StatefulProcessor):
 class Limiter(StatefulProcessor):
     """State: the time from which the key owes nothing."""
 
-    def __init__(self, period: int, burst: int):
-        self.period, self.burst = period, burst
+    def __init__(self, period: int, burst: int, idle_ms: int | None = None):
+        self.period, self.burst, self.idle_ms = period, burst, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tat", "tat bigint")
+        self.state = handle.getValueState("tat", "tat bigint", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         tat, out = self.state.get()[0] if self.state.exists() else -(1 << 62), []
@@ -67,11 +68,11 @@ class Limiter(StatefulProcessor):
 class Cache(StatefulProcessor):
     """State: when the entry was stored. Its age is judged by event time."""
 
-    def __init__(self, ttl: int = rules.CACHE_TTL):
-        self.ttl = ttl
+    def __init__(self, ttl: int = rules.CACHE_TTL, idle_ms: int | None = None):
+        self.ttl, self.idle_ms = ttl, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stored", "stored_at bigint")
+        self.state = handle.getValueState("stored", "stored_at bigint", self.idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stored, out = self.state.get()[0] if self.state.exists() else None, []
