@@ -39,6 +39,17 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert scores == {0.5}  # nothing to learn from
 
 
+def test_quality_learns_from_few_labels(spark):
+    """Four labels of each kind are learned from, as many are; so is one of each."""
+    good, bad = "the quick brown fox runs over the lazy dog and sleeps", "zz## 11 $$ qq## 99 %% xx"
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, f"{good if i % 2 else bad} {i}") for i in range(60)], "doc_id long, text string")
+    for chosen in ([i for i in ids if i % 2][:4] + [i for i in ids if not i % 2][:4], [next(i for i in ids if i % 2), next(i for i in ids if not i % 2)]):
+        labels = spark.createDataFrame([(i, i % 2) for i in chosen], "doc_id long, quality int")
+        rows = quality.score_documents(docs, labels).collect()
+        assert all(r["predicted"] == r["doc_id"] % 2 for r in rows) and len({r["score"] for r in rows}) > 2
+
+
 def test_temperature():
     rng = np.random.default_rng(3)
     logits = rng.normal(0, 2, 4000)
@@ -272,6 +283,20 @@ def test_shards_of_odd_rows(odd, none, tmp_path):
     assert odd.sparkSession.read.parquet(str(tmp_path / "out")).count() == odd.count()
 
 
+def test_written_shards_are_those_assigned(spark, odd, tmp_path):
+    """Ids that are null, texts that repeat without end, and clashing columns are dealt out as shard_documents does."""
+    many = spark.createDataFrame([(None, "one text of many rows", "en")] * 3000 + [(i, f"text {i} " * (i % 50), "de") for i in range(500)], "doc_id long, text string, key string")
+    for n, docs in enumerate((many, odd)):
+        shards.write_shards(docs, str(tmp_path / str(n)), 8)
+        written = spark.read.parquet(str(tmp_path / str(n)))
+        assert set(docs.columns) <= set(written.columns) | {"shard", "slot"}
+        crc = lambda t: zlib.crc32((t or "").encode())
+        own = sorted((repr(r["doc_id"]), crc(r["text"]), r["shard"], r["slot"]) for r in written.collect())
+        assert own == sorted((repr(r["doc_id"]), r["text_crc32"], r["shard"], r["slot"]) for r in shards.shard_documents(docs, 8).collect())
+    sizes = spark.read.parquet(str(tmp_path / "0")).groupBy("shard").agg(F.sum(F.octet_length("text") + 16).alias("s")).collect()
+    assert len(sizes) == 8 and max(r["s"] for r in sizes) < 1.1 * min(r["s"] for r in sizes)
+
+
 def test_splitters_keep_groups_whole():
     g = [a << shards.LOW for a in range(4)]
     assert shards.splitters([g[0] + 5, g[1] + 7, g[2] + 1, g[2] + 9, g[2] + 99]) == [g[0], g[1], g[2], g[2] + 9, g[2] + 99]

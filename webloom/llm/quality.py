@@ -209,13 +209,16 @@ def untrained(vectors: np.ndarray, s: Settings = Settings()) -> Model:
 
 
 def fit(model: Model, x: np.ndarray, labels: np.ndarray) -> Model:
-    """Train on pooled documents and 0/1 labels. Without rows, or with one label only, all scores are the smoothed share of 1."""
+    """Train on pooled documents and 0/1 labels, however few. Without rows, or with one label only, all scores are the smoothed
+    share of 1. Rows kept apart set the temperature, if they have both labels."""
     y, s = labels.astype(float), model.settings
     model.constant = float((y.sum() + 1) / (len(y) + 2))
-    if len(np.unique(y)) < 2 or len(y) < 10:
+    if len(np.unique(y)) < 2:
         return model
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-3
     apart = np.random.default_rng(s.seed).random(len(y)) < s.kept_apart
+    if len(set(y[~apart])) < 2:  # a label only among those kept apart: train on all
+        apart[:] = False
     model.layers = trained((x[~apart] - model.mean) / model.scale, y[~apart], s)
     model.temperature = calibrated(model.logits(x[apart]), y[apart]) if len(set(y[apart])) == 2 else 1.0
     model.constant = None

@@ -83,28 +83,39 @@ def assign_shards(rows: DataFrame, shards: int = 40, key: str = "key", size: str
     return at.join(F.broadcast(first), "shard").withColumn("slot", F.col("_place") - F.col("_first")).select(*rows.columns, "shard", "slot")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law ``bytes``, shard, slot and grown_shard (null) of each document.
-
-    A null text has size 16 and the checksum of no bytes. Equal texts share a shard unless their sizes
-    together fill more than a range (a 64th of a shard's share). Repeated rows are records of their own, with a
-    slot each; null ids come first among equal texts.
-    """
+def placed_documents(docs: DataFrame, shards: int, doc_id: str, text: str, carry: tuple[Column, ...] = ()) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of each document, and the columns of ``carry``, whose names must be other ones."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(whole) + 16).cast("long").alias("size"),
         F.crc32(whole.cast("binary")).cast("long").alias("text_crc32"),
         F.xxhash64(whole).alias("_hash"),
+        *carry,
     )
     rows = numbered(rows, ["doc_id", "_hash"], "_copy").withColumn("key", group_key(F.col("_hash"), "doc_id", "_copy")).drop("_hash", "_copy")
-    return assign_shards(rows, shards, ties=("doc_id", "text_crc32", "size")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return assign_shards(rows, shards, ties=("doc_id", "text_crc32", "size"))
+
+
+def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, law ``bytes``, shard, slot and grown_shard (null) of each document.
+
+    A null text has size 16 and the checksum of no bytes. Equal texts share a shard unless their sizes
+    together fill more than a range (a 64th of a shard's share). Repeated rows are records of their own, with a
+    slot each; null ids come first among equal texts.
+    """
+    placed = placed_documents(docs, shards, doc_id, text)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Write the documents as one folder for each shard, in the order of slots."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_key": group_key(F.xxhash64(whole), F.col(doc_id)), "_size": (F.octet_length(whole) + 16).cast("long")})
-    placed = assign_shards(keyed, shards, "_key", "_size", (doc_id,)).drop("_key", "_size")
+    """Write the documents, all their columns and slot, as one folder for each shard, in the order of slots.
+
+    Shards and slots are those of ``shard_documents``, for null texts and ids and for repeated rows too: rows alike in id
+    and text share their slots among them in any order. Columns of docs named shard or slot are left out. An empty table
+    gives a folder without shards.
+    """
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot"))).alias("_all")
+    placed = placed_documents(docs, shards, doc_id, text, (whole,)).select("_all.*", "shard", "slot")
     pieces = F.floor(F.col("slot") / 65536)
     placed.repartition("shard", pieces).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
