@@ -324,6 +324,22 @@ def test_limiter_waits(spark):
     assert [r["admitted_at"] for r in folds.limiter(df, "backend", 10, 3).orderBy("t", "n").collect()] == [0, 0, 0, 10, 20, 100]
 
 
+def test_limiter_and_streaks_over_many_bins(spark):
+    """Bins of any width give what one pass over a key's events gives."""
+    rows = [(k, t, n, ok) for i, k in enumerate(["a", "b", None]) for t, n, ok in random_events(i + 40, 80, 400)]
+    df = spark.createDataFrame(rows, "backend string, t long, n long, ok boolean").repartition(3)
+    admitted, runs = {}, {}
+    for k in ("a", "b", None):
+        tat, run = -(1 << 62), 0
+        for t, n, ok in sorted((t, n, ok) for b, t, n, ok in rows if b == k):
+            at = max(t, tat - 2 * 9)
+            tat, run = max(tat, at) + 9, 0 if ok else run + 1
+            admitted[k, n], runs[k, n] = at, run
+    for width in (7, 60, 10_000):
+        assert {(r["backend"], r["n"]): r["admitted_at"] for r in folds.limiter(df, "backend", 9, 3, width).collect()} == admitted
+        assert {(r["backend"], r["n"]): r["streak"] for r in folds.streaks(df, width=width).collect()} == runs
+
+
 def test_cache(spark):
     df = spark.createDataFrame([("k", t, i) for i, t in enumerate([0, 5, 9, 10, 19, 20])], "key string, t long, n long")
     assert [r["hit"] for r in folds.cache(df, ttl=10).orderBy("n").collect()] == [False, True, True, False, True, False]
@@ -382,6 +398,17 @@ def test_errors_shown(spark):
     assert [r[0] for r in got] == ["Bot protection detected on target page", "Failed to fetch page: HTTP 500", None]
 
 
+def test_pages_and_crawls_for_people(spark):
+    links = [(f"t{i}", f"https://e.org/{i}") for i in range(12)]
+    df = spark.createDataFrame([("T", "https://e.org/", "now", 3, "a b c", links), ("U", "https://f.org/", "now", 0, None, None)], "title string, url string, at string, n int, body string, links array<struct<text:string,url:string>>")
+    shown = [r[0] for r in df.select(render.page_text("title", "url", "at", "n", "body", "links")).collect()]
+    head = lambda t, u, n: f"\n{t}\n{'=' * 50}URL: {u}\nFetched: now\nWords: {n}\n\n"
+    assert shown[0] == head("T", "https://e.org/", 3) + "a b c\n\nLinks found (12):\n" + "".join(f"  - t{i} (https://e.org/{i})\n" for i in range(10))
+    assert shown[1] == head("U", "https://f.org/", 0) + "\n"
+    pages = spark.createDataFrame([(1, 2, [("https://e.org/", "é" * 300)])], "ok int, bad int, pages array<struct<url:string,markdown:string>>")
+    assert pages.select(render.crawl_text("ok", "bad", "pages")).first()[0] == "\nCrawl complete: 1 pages, 2 errors\n\n--- https://e.org/ ---\n" + "é" * 200 + "\n"
+
+
 def test_json_sink_and_files(spark, tmp_path):
     render.write_lines(spark.createDataFrame([(1, None), (2, "x")], "a int, b string"), str(tmp_path / "out"))
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == ['{"a":1}', '{"a":2,"b":"x"}']

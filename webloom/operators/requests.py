@@ -193,7 +193,8 @@ def dispatched(rows: DataFrame) -> DataFrame:
         "valid", "method", "tool", prefix.alias("prefix"), absent.alias("absent"), F.col("_misfit.cause").alias("cause"),
         ((prefix == "fetch") & ~urls.is_http(F.try_variant_get(given, "$.url", "string"))).alias("bad_url"),
     )
-    rows = rows.withColumn("_d", _once(facts, decided))
+    # A generator of one row: filters by what is decided stay above it, so that nothing below is written into them again.
+    rows = rows.withColumn("_d", F.explode(F.transform(F.array(facts), decided)))
     return rows.withColumns({**{k: F.col(f"_d.{k}") for k in ("action", "code", "message")}, "path": F.col("_misfit.path")}).drop("_prefix", "_misfit", "_d")
 
 

@@ -588,10 +588,51 @@ query(
     + _by_case(["'https://e.org/'" if t == "crawl_site" and not cause else None for t, _, _, cause in SHAPED_CALLS]) + " AS root_url, "
     + _by_case(["12::BIGINT" if t == "crawl_site" and not cause else None for t, _, _, cause in SHAPED_CALLS]) + " AS max_pages FROM src",
 )
+# Searches asked for line by line, each over two sources whose answers are documents; the response is read back.
+SERVED = f"""SELECT doc_id, CAST(floor(doc_id / 30) AS BIGINT) AS q, doc_id % 30 AS i, text, first_value({SAID}) OVER (PARTITION BY floor(doc_id / 30) ORDER BY doc_id) AS said, first_value(text) OVER (PARTITION BY floor(doc_id / 30) ORDER BY doc_id) AS asked FROM {{documents}}"""
+
+
+def _served(d: DataFrame) -> DataFrame:
+    from webloom.plans.engine import Engine
+
+    call = F.concat(F.lit('{"jsonrpc":"2.0","id":'), F.col("q").cast("string"), F.lit(',"method":"tools/call","params":{"name":"web_search","arguments":{"query":"'), F.concat_ws(" ", F.col("q").cast("string"), "said"), F.lit('","options":{"num_results":'), (F.col("q") % 9 + 1).cast("string"), F.lit("}}}}"))
+    lines = d.filter("i = 0").select(call.alias("line"))
+    url = F.concat(F.lit("https://ex.org/"), F.col("doc_id").cast("string"))
+    item = F.when(F.col("i") % 2 == 0, F.struct(F.col("text").alias("title"), url.alias("url"), F.col("text").alias("content"))).otherwise(F.struct(F.lit("t").alias("title"), url.alias("url"), F.lit("c").alias("content")))
+    listed = d.groupBy(F.concat_ws(" ", F.col("q").cast("string"), "asked").alias("query"), F.when(F.col("i") % 2 == 0, "tavily").otherwise("wiby").alias("source")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", item.alias("x")))), lambda y: y["x"]).alias("xs"))
+    body = F.when(F.col("source") == "tavily", F.to_json(F.struct(F.col("xs").alias("results")))).otherwise(F.to_json(F.transform("xs", lambda x: F.struct(x["title"].alias("Title"), x["url"].alias("URL"), x["content"].alias("Snippet")))))
+    engine = Engine(d.sparkSession, None, listed.select("query", "source", body.alias("body")), keys=("tavily",), as_of="2024-01-01T00:00:00Z")
+    answer = F.parse_json("response")
+    found = engine.serve(lines).select(F.try_variant_get(answer, "$.id", "long").alias("q"), F.try_variant_get(answer, "$.result.isError", "boolean").alias("failed"), F.parse_json(F.try_variant_get(answer, "$.result.content[0].text", "string")).alias("v"))
+    urls_ = F.from_json(F.to_json(F.try_variant_get("v", "$.data", "variant")), "array<struct<url string, title string>>")
+    return found.select("q", "failed", F.try_variant_get("v", "$.metadata.query", "string").alias("query"), F.try_variant_get("v", "$.metadata.result_count", "long").alias("n"), F.array_join(urls_["url"], ",").alias("urls"), F.array_join(urls_["title"], "|").alias("titles"))
+
+
+query(
+    "serve_searches",
+    SERVED,
+    _served,
+    """SELECT q, FALSE AS failed, q || ' ' || any_value(asked) AS query, count(*) AS n, string_agg('https://ex.org/' || doc_id, ',' ORDER BY i) AS urls, string_agg(CASE WHEN i % 2 = 0 THEN text ELSE 't' END, '|' ORDER BY i) AS titles
+    FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY i) AS k FROM src) WHERE k <= q % 9 + 1 GROUP BY q""",
+)
 query("tool_envelope", "SELECT conv_id, turn, role AS t FROM {conversations}", lambda d: d.select("conv_id", "turn", requests.envelope("t", F.col("turn") % 2 == 0).alias("envelope")), """SELECT conv_id, turn, '{"content":[{"type":"text","text":"' || t || '"}],"isError":' || CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'false' END || '}' AS envelope FROM src""")
 
 # ---- rendering
 
 query("render_page", PAGES, lambda d: d.select("page_id", render.page_block(F.lit("T"), "url", F.lit("now"), F.col("page_id"), "html").alias("block")), "SELECT page_id, '# T' || chr(10) || chr(10) || '**URL:** ' || url || chr(10) || '**Fetched:** now' || chr(10) || '**Words:** ' || page_id || chr(10) || chr(10) || '---' || chr(10) || chr(10) || html AS block FROM src")
 query("render_results", RESULTS, lambda d: d.select("doc_id", F.concat(render.search_header("title", "query_id", F.lit("wt-wt")), render.search_result("pos", "title", "url", "description", "source", "content_type")).alias("shown")), "SELECT doc_id, chr(10) || 'Search Results for: ' || title || chr(10) || repeat('=', 50) || chr(10) || 'Found ' || query_id || ' results in region ''wt-wt''' || chr(10) || chr(10) || pos || '. ' || title || chr(10) || '   URL: ' || url || chr(10) || '   ' || description || chr(10) || '   Source: ' || source || ' | Type: Article' || chr(10) || chr(10) AS shown FROM src")
+LINKED = "SELECT page_id, url, html, CASE WHEN page_id % 3 = 0 THEN NULL ELSE page_id % 14 END AS n FROM {pages}"
+query(
+    "render_page_text",
+    LINKED,
+    lambda d: d.select("page_id", render.page_text(F.lit("T"), "url", F.lit("now"), "page_id", "html", F.when(F.col("n").isNotNull(), F.transform(F.sequence(F.lit(1), F.col("n") + 1), lambda i: F.struct(F.concat(F.lit("l"), i.cast("string")).alias("text"), F.col("url").alias("url"))))).alias("shown")),
+    "SELECT page_id, chr(10) || 'T' || chr(10) || repeat('=', 50) || 'URL: ' || url || chr(10) || 'Fetched: now' || chr(10) || 'Words: ' || page_id || chr(10) || chr(10) || html || chr(10) || CASE WHEN n IS NULL THEN '' ELSE chr(10) || 'Links found (' || (n + 1) || '):' || chr(10) || array_to_string(list_transform(range(1, least(n + 1, 10) + 1), lambda i: '  - l' || i || ' (' || url || ')' || chr(10)), '') END AS shown FROM src",
+)
+CRAWLED = "SELECT query_id, ok, bad, doc_id, text FROM (SELECT doc_id, text, CAST(floor(doc_id / 6) AS BIGINT) AS query_id, doc_id % 5 AS ok, doc_id % 3 AS bad FROM {documents}) AS t"
+query(
+    "render_crawl",
+    CRAWLED,
+    lambda d: d.groupBy("query_id").agg(F.sum("ok").alias("ok"), F.sum("bad").alias("bad"), F.array_sort(F.collect_list(F.struct("doc_id", F.concat(F.lit("https://d.org/"), F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("markdown")))).alias("pages")).select("query_id", render.crawl_text("ok", "bad", "pages").alias("shown")),
+    "SELECT query_id, chr(10) || 'Crawl complete: ' || sum(ok) || ' pages, ' || sum(bad) || ' errors' || chr(10) || string_agg(chr(10) || '--- https://d.org/' || doc_id || ' ---' || chr(10) || left(text, 200) || chr(10), '' ORDER BY doc_id) AS shown FROM src GROUP BY query_id",
+)
 query("result_json", RESULTS, lambda d: render.as_json(d.select("doc_id", "url", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("source"))), """SELECT '{"doc_id":' || doc_id || ',"url":"' || url || '"' || CASE WHEN doc_id % 2 = 0 THEN ',"source":"' || source || '"' ELSE '' END || '}' AS value FROM src""")

@@ -16,6 +16,10 @@ from webloom.functions import rules
 from webloom.operators import asof
 
 
+#: Microseconds: the usual length of a bin of events.
+DAY = 86_400_000_000
+
+
 def gathered(events: DataFrame, key: str, fresh: Column, *fields: str) -> DataFrame:
     """key and _e, stretches of its events as sorted structs (t, n, fields). A stretch begins where ``fresh`` holds; it may
     ask for the time of the event before, _t."""
@@ -89,18 +93,31 @@ def with_retries(events: DataFrame) -> DataFrame:
     return events.select(*others, F.explode(pair).alias("_p")).select(*others, "_p.sub", F.col("_p.h").alias("ok"))
 
 
-def limiter(events: DataFrame, key: str, period: int, burst: int) -> DataFrame:
+def limiter(events: DataFrame, key: str, period: int, burst: int, width: int = DAY) -> DataFrame:
     """From events (key, t, n): key, n, t, admitted_at: calls wait, none is refused. ``burst`` calls may come at once, one each ``period`` after.
 
     Each call moves the time from which the key owes nothing to the later of it and the call, plus a period; so
     before the call of number i that time is i periods and the largest t - j periods of the calls j before it.
     """
-    order = Window.partitionBy(key).orderBy("t", "n")
-    own = events.select(key, "n", "t", (F.row_number().over(order) - 1).cast("long").alias("_i"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    owed = F.max(F.col("t") - F.col("_i") * period).over(before) + F.col("_i") * period
-    at = F.greatest("t", F.coalesce(owed - (burst - 1) * period, F.col("t")))
-    return own.withColumn("admitted_at", at).select(key, F.col("n").cast("long").alias("n"), "t", "admitted_at")
+    own = events.select(key, "n", "t", F.floor(F.col("t") / width).alias("_bin"))
+    order = Window.partitionBy(key, "_bin").orderBy("t", "n")
+    counts = own.groupBy(key, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    past = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select(key, "_bin", F.coalesce(F.sum("_c").over(past), F.lit(0)).alias("_base"))
+    placed = _joined(own, base, key).withColumn("_i", F.col("_base") + F.row_number().over(order) - 1).drop("_base")
+    owed = F.col("t") - F.col("_i") * period
+    most = placed.groupBy(key, "_bin").agg(F.max(owed).alias("_m"))
+    carried = most.select(key, "_bin", F.max("_m").over(past).alias("_carry"))
+    within = F.max(owed).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.greatest(within, F.col("_carry")) + F.col("_i") * period  # of what there is: greatest leaves nulls out
+    at = F.greatest("t", F.coalesce(before - (burst - 1) * period, F.col("t")))
+    return _joined(placed, carried, key).withColumn("admitted_at", at).select(key, F.col("n").cast("long").alias("n"), "t", "admitted_at")
+
+
+def _joined(rows: DataFrame, bins: DataFrame, key: str) -> DataFrame:
+    """Rows with what is known of their key's bin; null keys are keys too."""
+    of = bins.withColumnRenamed(key, "_key").withColumnRenamed("_bin", "_of")
+    return rows.join(of, rows[key].eqNullSafe(of["_key"]) & (rows["_bin"] == of["_of"])).drop("_key", "_of")
 
 
 def search_key(query: Column, region: Column, safe: Column) -> Column:
@@ -153,12 +170,22 @@ def cache_stats(entries: DataFrame, as_of: int, ttl: int = rules.CACHE_TTL, capa
     return out.withColumn("line", line)
 
 
-def streaks(events: DataFrame, key: str = "backend") -> DataFrame:
-    """Add streak: failures in a row up to each event (key, t, n, ok), without skips."""
-    order = Window.partitionBy(key).orderBy("t", "n")
-    island = F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(order)
-    counted = events.withColumn("_i", island)
-    return counted.withColumn("streak", F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(Window.partitionBy(key, "_i").orderBy("t", "n")).cast("long")).drop("_i")
+def streaks(events: DataFrame, key: str = "backend", width: int = DAY) -> DataFrame:
+    """Add streak: failures in a row up to each event (key, t, n, ok), without skips; an unknown outcome is a failure.
+
+    Streaks are counted within bins of ``width``; one that goes on from earlier bins has their ends added, which come from a
+    row for each key and bin.
+    """
+    binned = events.withColumn("_bin", F.floor(F.col("t") / width))
+    good, bad = F.when(F.col("ok"), 1).otherwise(0), F.when(F.col("ok"), 0).otherwise(1)
+    order = Window.partitionBy(key, "_bin").orderBy("t", "n")
+    own = binned.withColumn("_i", F.sum(good).over(order)).withColumn("_own", F.sum(bad).over(Window.partitionBy(key, "_bin", "_i").orderBy("t", "n")))
+    ends = own.groupBy(key, "_bin").agg(F.max_by("_own", F.struct("t", "n")).alias("_end"), F.max(good).alias("_broken"))
+    bins = Window.partitionBy(key).orderBy("_bin")
+    ends = ends.withColumn("_run", F.sum("_broken").over(bins)).withColumn("_sum", F.sum("_end").over(Window.partitionBy(key, "_run").orderBy("_bin")))
+    carried = ends.select(key, "_bin", F.coalesce(F.lag("_sum").over(bins), F.lit(0)).alias("_carry"))
+    streak = F.col("_own") + F.when(F.col("_i") == 0, F.col("_carry")).otherwise(0)
+    return _joined(own, carried, key).withColumn("streak", streak.cast("long")).select(*events.columns, "streak")
 
 
 def pruned(sources: DataFrame, health: DataFrame, as_of: int, cooldown: int = rules.BREAKER_COOLDOWN) -> DataFrame:
