@@ -89,7 +89,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the ids of each row's text and the digests of its sampled segmentations. A null text has no ids."""
     in_batches(spark)
-    held = pieces.Settings(kept=200_000, together=1 << 15, release=True)  # workers have four stages behind them
+    held = pieces.Settings(kept=60_000, together=1 << 14, release=True)  # executors have four stages behind them
     return pieces.encode_texts(docs, held, carry=("doc_id", "lang", "source"), with_ids=True).drop("sample_ids")
 
 
