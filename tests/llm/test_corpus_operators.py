@@ -121,6 +121,17 @@ def test_fingerprints_against_plain_ones(spark, corpus):
     assert {r["doc_id"]: (r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in found} == want
 
 
+@pytest.mark.parametrize("radius", [3, 7])
+def test_fingerprints_within_the_radius(corpus, radius):
+    rows = simhash.fingerprint_documents(corpus, radius=radius, every=2).collect()
+    prints = {int(r["fingerprint"], 16) for r in rows}
+    near = lambda a: sum((a ^ b).bit_count() <= radius for b in prints) - 1
+    asked = [r for r in rows if r["doc_id"] % 2 == 0]
+    assert all(r["n_within"] == near(int(r["fingerprint"], 16)) for r in asked) 
+    assert radius == 3 or sum(r["n_within"] for r in asked) > 0
+    assert all(r["n_within"] is None for r in rows if r["doc_id"] % 2)
+
+
 @pytest.mark.parametrize("kind", ["far", "null", "one"])
 def test_next_rows_whatever_the_ids(spark, kind):
     """An id far from the others, half of the ids null, or half of them one id: no bucket grows, and the order holds."""
@@ -198,6 +209,14 @@ def test_neighbours(spark):
     assert all(abs(s - np.dot(x[i], x[j])) < 1e-9 for (i, j), s in scores.items())
 
 
+def test_neighbours_do_not_depend_on_parts(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(2000, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole, parted = (listed(neighbours.nearest_of_table(df, 5, 10, neighbours.Settings(shelf_rows=200, query_rows=q)).collect()) for q in (16_384, 30))
+    assert len(whole) == 400 and whole == parted
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (None, [1.0, 1.0]), (6, [0.5, 0.5]), (7, [0.5, 0.5]), (40, None), (60, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("_id", F.lit(1)).withColumn("rank", F.lit("x"))
@@ -397,32 +416,6 @@ def test_pieces_round_trip(odd, none):
     assert pieces.encode_texts(none).count() == 0
 
 
-def test_pieces_are_drawn_by_probability_without_replacement():
-    s = pieces.Settings(samples=3, ahead=2)
-    lattice = pieces.Lattice(pieces.model_bytes(s.model), s)
-    ids = np.array(lattice.processor.encode("Hello there"), np.int32)
-    paths = {}
-    for a in range(s.width):
-        for b in range(s.width):
-            p = lattice.logs[ids[0], a] + lattice.logs[ids[1], b]
-            if p > -np.inf:
-                paths[a, b] = math.exp(p)
-    assert abs(sum(paths.values()) - 1) < 1e-9
-    first, second, n = Counter(), Counter(), 8000
-    for key in range(n):
-        found, _ = lattice.sample(ids, key)
-        drawn = [tuple(p.tolist()) for p, _ in found]
-        assert len(set(drawn)) == 3
-        first[drawn[0]] += 1
-        second[drawn[1]] += 1
-    then = {b: sum(pa * pb / (1 - pa) for a, pa in paths.items() if a != b) for b, pb in paths.items()}
-    for path in sorted(paths, key=paths.get)[-4:]:
-        assert abs(first[path] / n - paths[path]) < 5 * (0.25 / n) ** 0.5
-        assert abs(second[path] / n - then[path]) < 5 * (0.25 / n) ** 0.5
-    short, _ = lattice.sample(np.array(lattice.processor.encode("\n"), np.int32)[:1], 1)
-    assert len(short) <= 3
-
-
 def ways(text, ids, weight):
     """All segmentations of a text into pieces with their log-weights."""
     if not text:
@@ -454,9 +447,28 @@ def test_pieces_are_drawn_from_the_whole_lattice():
             assert abs(second[path] / n - then[path]) < 5 * (0.25 / n) ** 0.5
 
 
+def test_inclusion_scores(spark):
+    """Through the query: chances are the lattice's, and sampled chances by their inclusion add up to one on average."""
+    s, text, n = pieces.Settings(), "of a Cat", 3000
+    own = pieces.lattice(pieces.model_bytes(s.model), s)
+    every = ways("\u2581" + text.replace(" ", "\u2581"), *pieces.vocabulary(own.processor, s))
+    whole = np.logaddexp.reduce(list(every.values()))
+    rows = pieces.encode_texts(spark.range(n).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")), s, with_ids=True).collect()
+    sums = []
+    for r in rows:
+        chance, kept = np.exp(r["sample_log_prob"]), np.exp(r["sample_log_inclusion"])
+        assert np.allclose(chance, [math.exp(every[tuple(x)] - whole) for x in r["sample_ids"]])
+        assert (kept > 0).all() and (kept <= 1).all()
+        sums.append(float((chance / kept).sum()))
+    assert len(rows) == n and abs(np.mean(sums) - 1) < 5 * np.std(sums) / n**0.5
+    # A text with no more segmentations than asked for has them all for sure.
+    (both,) = pieces.encode_texts(spark.createDataFrame([(1, "a")], "doc_id long, text string"), s).collect()
+    assert both["sample_log_inclusion"] == [0.0, 0.0]
+
+
 def test_pieces_do_not_depend_on_other_texts():
     s = pieces.Settings()
-    lattice = pieces.WholeLattice(pieces.model_bytes(s.model), s)
+    lattice = pieces.Lattice(pieces.model_bytes(s.model), s)
     texts = ["Hello there", "", "=-" * 700, "é日\u0000\U0001f600 x" * 30, "Hello again", "ab " * 900]
     shown = lambda rows: [(k, [(x.tolist(), p) for x, p in found], after) for k, _, _, (found, after) in rows]
     together = shown(pieces.sampled_texts(lattice, list(range(6)), texts))

@@ -10,7 +10,8 @@ scaled up to all components, exceeds the k-th best distance by more than its sam
 abandoned. Lists are put on shelves of bounded size, neighbours side by side; a cell that holds a third of all
 rows fills many. A query first searches its home, the shelf of its nearest list, and goes with the k-th distance
 found there, once, to each other shelf that holds a list it probes, so that shelves give only what may be among
-its k nearest. Queries meet a shelf in parts of bounded size. Scores are taken on the original vectors. Queries
+its k nearest. The queries that meet a shelf are counted
+first and come in parts of bounded size, and only a shelf that many meet is sent to more than one. Scores are taken on the original vectors. Queries
 that found fewer than k then read every list.
 """
 
@@ -204,40 +205,72 @@ def shelver(index: Index, seed: int):
 
 
 HOME, REST, ALL = range(3)
+#: Shelves whose numbers of parts are broadcast at most; those of more are joined by shuffling.
+BROADCAST_ROWS = 500_000
 
 
-def prober(index: Index, probed: int, kind: int):
-    """A row for each query and each shelf that holds a list it probes (of HOME: its own shelf, whole; of REST: the others);
-    _lists tells which, a bit for each list of the shelf."""
+def meetings(index: Index, probed: int, kind: int):
+    """Of a batch of queries: each shelf that they meet (of HOME: a query's own shelf, whole; of REST: the others that hold a
+    list it probes), which of them do, and the lists they ask there."""
     held = index.held()
     home_of = np.full(len(index.centroids), -1)
     for k, own in index.shelves.items():
         home_of[k] = own[0]
 
+    def meet(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        far = squared(index.queries(matrix(b.column("_v"))), index.centroids)
+        far[:, home_of < 0] = np.inf  # lists without rows
+        near = np.argpartition(far, probed - 1, axis=1)[:, :probed]
+        home = home_of[far.argmin(1)]
+        asked = np.zeros(far.shape, bool)
+        np.put_along_axis(asked, near, True, 1)
+        shelves = set(home.tolist()) if kind == HOME else {x for k in np.flatnonzero(asked.any(0)).tolist() for x in index.shelves.get(k, ())}
+        for shelf in sorted(shelves):
+            lists = held[shelf]
+            if kind == HOME:
+                take = np.flatnonzero(home == shelf)
+                asked[np.ix_(take, lists)] = True
+            else:
+                take = np.flatnonzero(asked[:, lists].any(1) & ((home != shelf) | (kind == ALL)))
+            if len(take):
+                yield shelf, take, asked[np.ix_(take, lists)]
+
+    return meet
+
+
+def cut(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[pa.RecordBatch]:
+    return (whole.slice(at, most) for whole in batches for at in range(0, whole.num_rows, most))
+
+
+def prober(index: Index, probed: int, kind: int):
+    """A row for each query and shelf that it meets; _lists tells which lists it asks, a bit for each list of the shelf."""
+    meet = meetings(index, probed, kind)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, 1024) for whole in batches for at in range(0, whole.num_rows, 1024)):
-            far = squared(index.queries(matrix(b.column("_v"))), index.centroids)
-            far[:, home_of < 0] = np.inf  # lists without rows
-            near = np.argpartition(far, probed - 1, axis=1)[:, :probed]
-            home = home_of[far.argmin(1)]
-            asked = np.zeros(far.shape, bool)
-            np.put_along_axis(asked, near, True, 1)
-            for shelf, lists in held.items():
-                if kind == HOME:
-                    take = np.flatnonzero(home == shelf)
-                    asked[np.ix_(take, lists)] = True
-                else:
-                    take = np.flatnonzero(asked[:, lists].any(1) & ((home != shelf) | (kind == ALL)))
-                if len(take):
-                    sent = b.take(pa.array(take))
-                    bits = np.packbits(asked[np.ix_(take, lists)], axis=1)
-                    yield pa.RecordBatch.from_arrays(
-                        [*sent.columns, pa.array(np.full(len(take), shelf, np.int32)), pa.array([x.tobytes() for x in bits], pa.binary())], names=[*b.schema.names, "_shelf", "_lists"]
-                    )
+        for b in cut(batches):
+            for shelf, take, lists in meet(b):
+                sent, bits = b.take(pa.array(take)), np.packbits(lists, axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [*sent.columns, pa.array(np.full(len(take), shelf, np.int32)), pa.array([x.tobytes() for x in bits], pa.binary())], names=[*b.schema.names, "_shelf", "_lists"]
+                )
 
     return deal
 
 
+def tallier(index: Index, probed: int, kind: int):
+    """How many queries of a partition meet each shelf."""
+    meet = meetings(index, probed, kind)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[int, int] = {}
+        for b in cut(batches):
+            for shelf, take, _ in meet(b):
+                met[shelf] = met.get(shelf, 0) + len(take)
+        yield pa.RecordBatch.from_arrays([pa.array(list(met), pa.int32()), pa.array(list(met.values()), pa.int64())], names=["_shelf", "n"])
+
+    return tally
+
+
 def scan(q: np.ndarray, x: np.ndarray, barred: np.ndarray, best: np.ndarray, block: int, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The rows x of a list that may be among the k nearest of the queries q: (query, row, squared distance), and the new
     ``best``, the k least distances that each query has seen (a heap in no order, infinite where there are fewer).
@@ -337,27 +370,28 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, s: Settings = Sett
     index = replace(index, shelves=shelved({r["_list"]: r["n"] for r in counts}, s.shelf_rows))
     dealt = listed.mapInArrow(shelver(index, s.seed), "_id long, _v array<double>, _list int, _shelf int")
 
-    def searched(some: DataFrame, amount: int, probed: int, kind: int) -> DataFrame:
-        parts = parts_for(amount, s.query_rows)
+    def searched(some: DataFrame, probed: int, kind: int) -> DataFrame:
+        # A shelf is sent to as many parts as the queries that meet it fill, most to one only; a shelf that none meets, to none.
+        met = some.select("_v").mapInArrow(tallier(index, probed, kind), "_shelf int, n long").groupBy("_shelf").agg(F.ceil(F.sum("n") / s.query_rows).cast("int").alias("_parts"))
+        met = durable(met)
+        met = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
         sent = some.select("_id", "_v", "_q", "_bound").mapInArrow(prober(index, probed, kind), "_id long, _v array<double>, _q long, _bound double, _shelf int, _lists binary")
-        sent = sent.withColumn("_part", F.pmod(F.xxhash64("_q"), F.lit(parts)).cast("int"))
-        met = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        return sent.groupBy("_shelf", "_part").cogroup(met.groupBy("_shelf", "_part")).applyInArrow(searcher(index, k, s), FOUND)
+        sent = sent.join(met, "_shelf").withColumn("_part", F.pmod(F.xxhash64("_q"), "_parts").cast("int")).drop("_parts")
+        rows_ = dealt.join(met, "_shelf").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+        return sent.groupBy("_shelf", "_part").cogroup(rows_.groupBy("_shelf", "_part")).applyInArrow(searcher(index, k, s), FOUND)
 
     order = Window.partitionBy("_q").orderBy(F.col("score").desc(), "vec_id")
     best = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     open_ = F.lit(float("inf"))
-    amount = asked.count()
-    home = durable(searched(asked.withColumn("_bound", open_), amount, index.probed, HOME))
+    home = durable(searched(asked.withColumn("_bound", open_), index.probed, HOME))
     bounds = home.groupBy("_q").agg(F.when(F.count(F.lit(1)) >= k, F.max("_far")).alias("_bound"))
     bounded = asked.join(bounds, "_q", "left").withColumn("_bound", F.coalesce("_bound", open_))
-    found = durable(best(home.unionByName(searched(bounded, amount, index.probed, REST))))
+    found = durable(best(home.unionByName(searched(bounded, index.probed, REST))))
     # Whoever found fewer than k has its own id in its lists, say, or too few rows there: it reads every list.
     full = found.filter(F.col("rank") == k).select("_q")
     short = asked.join(full, "_q", "left_anti").withColumn("_bound", open_)
-    lacking = short.count() if index.probed < len(index.centroids) else 0
-    if lacking:
-        again = best(searched(short, lacking, len(index.centroids), ALL))
+    if index.probed < len(index.centroids) and not short.isEmpty():
+        again = best(searched(short, len(index.centroids), ALL))
         found = found.join(full, "_q", "left_semi").select(*again.columns).unionByName(again)
     return found.select("query_id", "rank", "vec_id", "score")
 

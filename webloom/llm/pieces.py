@@ -35,13 +35,12 @@ from webloom.llm.common import strings, tidy
 
 @dataclass(frozen=True)
 class Settings:
-    """model: the vocabulary file. samples: segmentations of each text. width: of each piece, in ``Lattice`` only. ahead: places a node is split into at a time. kept: characters of words whose
-    lattices are held, 120 bytes each. together: characters of the texts that are sampled at a time. release: whether a worker
-    lets its words go after each task. Results depend on none of these three."""
+    """model: the vocabulary file. samples: segmentations of each text. ahead: places a node is split into at a time. kept: characters
+    of words whose lattices are held, 120 bytes each. together: characters of the texts that are sampled at a time. release:
+    whether a worker lets its words go after each task. Results depend on none of these three."""
 
     model: str = "/opt/tokenizers/piece_bpe_32k.model"
     samples: int = 2
-    width: int = 4
     power: float = 1.0
     ahead: int = 8
     kept: int = 2_000_000
@@ -60,66 +59,12 @@ def vocabulary(p: sentencepiece.SentencePieceProcessor, s: Settings) -> tuple[di
     return ids, {w: -s.power * float(np.log(10 + (-score[i] if score[i] > -1e8 else 0))) for w, i in ids.items()}
 
 
-class Lattice:
-    """The refinements of a segmentation: for each piece its ``width`` best segmentations, their log-probabilities, given the
-    piece, and their pieces. The queries use ``WholeLattice``, which shares the search."""
-
-    def __init__(self, model: bytes, s: Settings):
-        self.processor = p = sentencepiece.SentencePieceProcessor(model_proto=model)
-        n, self.s = p.get_piece_size(), s
-        ids, weight = vocabulary(p, s)
-        self.logs = np.full((n, s.width), -np.inf)
-        self.logs[:, 0] = 0
-        parts: list[list[tuple[int, ...]]] = [[(i,)] for i in range(n)]
-        for w, i in ids.items():
-            best: list[list[tuple[float, tuple[int, ...]]]] = [[(0.0, ())]]
-            for end in range(1, len(w) + 1):
-                own = [(a + weight[x], path + (ids[x],)) for start in range(end) if (x := w[start:end]) in ids for a, path in best[start]]
-                best.append(sorted(own, key=lambda y: (-y[0], y[1]))[: s.width])
-            parts[i] = [path for _, path in best[-1]]
-            a = np.array([x for x, _ in best[-1]])
-            self.logs[i, : len(a)] = a - np.logaddexp.reduce(a)
-        self.cuts = np.cumsum(np.exp(self.logs), axis=1)[:, :-1].astype(np.float32)
-        self.sizes = np.array([[len(x[k]) if k < len(x) else 0 for k in range(s.width)] for x in parts])
-        flat = [q for x in parts for k in range(s.width) for q in (x[k] if k < len(x) else ())]
-        self.flat, ends = np.array(flat, np.int32), np.cumsum(self.sizes.ravel())
-        self.starts = (ends - self.sizes.ravel()).reshape(self.sizes.shape)
-
-    def draw(self, ids: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """A segmentation of each piece, by its probability."""
-        choice = (rng.random(len(ids), np.float32)[:, None] >= self.cuts[ids]).sum(1)
-        bad = self.sizes[ids, choice] == 0  # rounding at the end of the sums
-        choice[bad] = 0
-        return choice
-
-    def pieces(self, ids: np.ndarray, choice: np.ndarray) -> np.ndarray:
-        size, start = self.sizes[ids, choice], self.starts[ids, choice]
-        ends = np.cumsum(size)
-        return self.flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size) + np.repeat(start, size)]
+class Search:
+    """The first paths to arrive, by splitting what is left of those that have. ``_rows`` gives the log-probabilities of all
+    choices of states."""
 
-    def sample(self, ids: np.ndarray, key: int) -> tuple[list[tuple[np.ndarray, float]], float]:
-        """The first ``samples`` paths to arrive, each with its log-probability, and the log of the time of the next one.
-
-        Texts with fewer segmentations give them all; the time of the next is then infinite.
-        """
-
-        def way(base: tuple | None, at: int, choice: int, rng: np.random.Generator) -> tuple:
-            path = self.draw(ids[at + 1 :], rng)
-            if base is not None:
-                path = np.concatenate([base[0][:at], [choice], path])
-            return path, np.concatenate([[0.0], np.cumsum(self.logs[ids, path])]), ids
-
-        search = self._search(key)
-        ask = next(search)
-        while True:
-            try:
-                ask = search.send(way(*ask))
-            except StopIteration as done:
-                found, after = done.value
-                return [(path[0], log_p) for path, log_p in found], after
-
-    def _rows(self, states: np.ndarray) -> np.ndarray:
-        return self.logs[states]
+    def __init__(self, s: Settings):
+        self.s = s
 
     def _search(self, key: int) -> Generator[tuple, tuple, tuple[list[tuple[tuple, float]], float]]:
         """Asks for a path that leaves another at a place by a choice (or for any path), and takes its choices, the sums of
@@ -202,7 +147,7 @@ def roomy(array: np.ndarray, need: int) -> np.ndarray:
     return array if need <= len(array) else np.append(array, np.zeros(max(need, 2 * len(array)) - len(array), array.dtype))
 
 
-class WholeLattice(Lattice):
+class Lattice(Search):
     """The lattice of all pieces. A state is a character; its choice k is the piece of k + 1 characters from there.
 
     Texts are cut into units, mostly words, over whose bounds no piece reaches; units are encoded and built as they are met,
@@ -218,7 +163,8 @@ class WholeLattice(Lattice):
     TABLES = ("flat", "lengths", "meet", "logs", "base", "parent", "piece", "words_alone", "ends_words")
 
     def __init__(self, model: bytes, s: Settings, tables: bytes | None = None):
-        self.processor, self.s = sentencepiece.SentencePieceProcessor(model_proto=model), s
+        super().__init__(s)
+        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         if tables is None:
             self._make()
         else:
@@ -455,7 +401,10 @@ class WholeLattice(Lattice):
         self.given, self.id_begin, self.id_count, self.used, self.ids_given = self.given[places], at, self.id_count[stay], self.used[stay] // 2, len(places)
 
     def sample(self, ids: np.ndarray, key: int) -> tuple[list[tuple[np.ndarray, float]], float]:
-        """As in ``Lattice``, with the pieces themselves as paths."""
+        """The first ``samples`` paths to arrive, each as its pieces with its log-probability, and the log of the time of the next one.
+
+        Texts with fewer segmentations give them all; the time of the next is then infinite.
+        """
         return self.sample_all(self.numbers([self.parts(ids.astype(np.int32))]), [key])[0]
 
     def sample_all(self, texts: list[np.ndarray], keys: list[int]) -> list[tuple[list[tuple[np.ndarray, float]], float]]:
@@ -526,13 +475,13 @@ class WholeLattice(Lattice):
         return self._log(states[:, None], np.arange(self.width))
 
 
-def lattice(model: bytes, s: Settings, tables: bytes | None = None) -> WholeLattice:
+def lattice(model: bytes, s: Settings, tables: bytes | None = None) -> Lattice:
     """Built once in each worker. Kept beside the interpreter, since these functions travel by value, anew for each task."""
     kept = vars(sys).setdefault("_webloom_lattices", {})
     key = (hashlib.sha256(model).digest(), repr(s))
     if key not in kept:
         kept.clear()
-        kept[key] = WholeLattice(model, s, tables)
+        kept[key] = Lattice(model, s, tables)
         tidy()
     return kept[key]
 
@@ -551,7 +500,7 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def sampled_texts(own: WholeLattice, keys: list, texts: list[str]) -> Iterator[tuple]:
+def sampled_texts(own: Lattice, keys: list, texts: list[str]) -> Iterator[tuple]:
     """Each key and text with its encoding and its samples."""
     held, n = [], 0
     for k, (key, text) in enumerate(zip(keys, texts, strict=True)):
