@@ -3,6 +3,8 @@
 import json
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from webloom.functions import classify
@@ -10,7 +12,7 @@ from webloom.operators import asof, crawl, merge, render, requests
 from webloom.plans.engine import Engine
 from webloom.sources import pages as captured
 from webloom.sources import payloads
-from webloom.streaming import folds, processors
+from webloom.streaming import folds, jumps, processors
 
 COLUMNS = "query_id int, source_ord int, pos int, url string, title string, description string, content_type string, source string"
 
@@ -314,6 +316,49 @@ def test_breaker_equals_simulation(spark):
     assert got == {k: simulated_breaker(v, 3, 15) for k, v in cases.items()}
 
 
+def test_circuits_and_caches_over_many_bins(spark):
+    """Bins of any width give what one pass over a key's events gives; events come without pause, and at one time."""
+    rows = [(k, t, n, ok) for i, k in enumerate(["a", "b", None]) for t, n, ok in random_events(i + 60, 150, 150)]
+    df = spark.createDataFrame(rows, "backend string, t long, n long, ok boolean").repartition(3)
+    own = {k: [(t, n, ok) for b, t, n, ok in rows if b == k] for k in ("a", "b", None)}
+    for width, failures, cooldown in ((1, 3, 15), (11, 2, 4), (40, 1, 15), (10_000, 3, 15)):
+        traced, stored = {}, {}
+        for k, events in own.items():
+            traced |= {(k, n): tuple(x) for n, *x in simulated_breaker(events, failures, cooldown)}
+            since = None
+            for t, n, _ in sorted(events):
+                hit = since is not None and t - since < cooldown
+                since = since if hit else t
+                stored[k, n] = hit, since
+        assert {(r["backend"], r["n"]): (r["admitted"], r["failures_after"], r["open_after"]) for r in folds.breaker(df, failures=failures, cooldown=cooldown, width=width).collect()} == traced
+        assert {(r["backend"], r["n"]): (r["hit"], r["stored_at"]) for r in folds.cache(df, "backend", ttl=cooldown, width=width).collect()} == stored
+
+
+def test_no_group_is_a_whole_past(spark):
+    """Of a busy key's events, a group has those of a bin; what goes on to the next bin does not grow with them."""
+    seen = spark.sparkContext.accumulator(0)
+    day = np.arange(0, 86_400_000_000, 10_000_000)
+    kind, _, _, upto = jumps.summary(day, np.zeros(len(day), bool), 3, 30_000_000)
+    assert len(kind) == 3 + 4 and len(upto) == 4  # closed with 0 to 2 failures; open until one of the first cooldown's events
+    df = spark.range(20_000).select(F.lit("a").alias("backend"), (F.col("id") * 20_000_000).alias("t"), F.col("id").alias("n"), (F.col("id") % 7 == 0).alias("ok"))
+    sizes = jumps._rows
+
+    def counted(failures, cooldown):
+        inner = sizes(failures, cooldown)
+
+        def rows(table, start):
+            assert len(table) < 1000
+            seen.add(len(table))
+            return inner(table, start)
+
+        return rows
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jumps, "_rows", counted)
+        assert folds.breaker(df).count() == 20_000
+    assert seen.value == 20_000
+
+
 def test_transient_failures_count_twice(spark):
     df = spark.createDataFrame([(0, 1, False, True, False), (1, 2, False, False, False), (2, 3, True, True, False)], "t long, n long, ok boolean, transient boolean, retry_ok boolean")
     assert sorted(tuple(r) for r in folds.with_retries(df).select("n", "sub", "ok").collect()) == [(1, 0, False), (1, 1, False), (2, 0, False), (3, 0, True)]
