@@ -1,9 +1,10 @@
 """Golden cases of the scalar functions and classifiers."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.functions import classify, dom, text
+from webloom.functions import classify, dom, lazy, text
 from webloom.functions import url as urls
 from webloom.operators import requests
 from webloom.sources import pages as captured
@@ -125,3 +126,26 @@ def test_pdf_pages(spark):
     body = b"%PDF-1.4\nstream\nBT (  hello world  ) Tj ET\nendstream"
     row = captured.pdf_pages(spark.createDataFrame([("https://e.com/a/doc.pdf", body), ("https://e.com/x", b"<p>")], "url string, body binary")).collect()
     assert [(r["title"], r["content"], r["word_count"], r["links"]) for r in row] == [("doc.pdf", "hello world", 2, None)]
+
+
+def test_of_a_batch_only_a_slice_is_python_objects():
+    """Results come after at most a slice's rows and characters, whatever a batch has."""
+    asked = []
+    batch = pa.array(["x" * 400_000] * 10)
+    slices = lazy.sliced(lambda t: asked.append(1) or len(t), iter([(batch,)]), pa.int64())
+    assert next(slices).to_pylist() == [400_000] * 3 and len(asked) == 3
+    assert [len(x) for x in slices] == [3, 3, 1]
+    assert [len(x) for x in lazy.sliced(lambda t, u: t, iter([(pa.array([None] * 600), pa.array(range(600)))]), pa.string())] == [256, 256, 88]
+
+
+def test_pages_take_rows_of_their_own(spark):
+    """Two functions of pages in one plan, null rows among them, over batches of many slices."""
+    rows = [(i, None if i % 7 == 0 else f"<p>t{i} <a href='/b{i}'>link</a></p>", "https://a.example/") for i in range(600)]
+    d = spark.createDataFrame(rows, "i int, html string, url string").repartition(2)
+    got = d.select("i", dom.to_markdown("html").alias("m"), dom.page_links("html", "url").alias("l"), dom.page("html", "url").alias("p")).collect()
+    assert len(got) == 600
+    for r in got:
+        if r["i"] % 7 == 0:
+            assert r["m"] is None and r["l"] == [] and r["p"]["error_kind"] == "fetch"
+        else:
+            assert r["m"] == r["p"]["content"] == f"t{r['i']} [link](/b{r['i']})" and r["l"][0]["url"] == f"https://a.example/b{r['i']}"

@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import classify, dom, text
 from webloom.functions import url as urls
-from webloom.functions.lazy import pandas_column
+from webloom.functions.lazy import row_column
 from webloom.functions.url import Name, _c
 
 #: What a source gives at most, whatever is asked for.
@@ -106,14 +105,14 @@ def _scraped(markup: str | None, item: str, title: str, about: str) -> list[dict
     return out
 
 
-@pandas_column(_ITEMS)
-def _bing_items(markup: pd.Series) -> pd.Series:
-    return pd.Series([_scraped(m, "li.b_algo", "h2 a", ".b_caption p, .b_lineclamp2") for m in markup])
+@row_column(_ITEMS)
+def _bing_items(markup: str | None) -> list[dict]:
+    return _scraped(markup, "li.b_algo", "h2 a", ".b_caption p, .b_lineclamp2")
 
 
-@pandas_column(_ITEMS)
-def _page_items(markup: pd.Series) -> pd.Series:
-    return pd.Series([_scraped(m, "div.result", "a.result__a", ".result__snippet") for m in markup])
+@row_column(_ITEMS)
+def _page_items(markup: str | None) -> list[dict]:
+    return _scraped(markup, "div.result", "a.result__a", ".result__snippet")
 
 
 def bing(body: Name, n: Name) -> Column:
