@@ -316,6 +316,24 @@ def test_breaker_equals_simulation(spark):
     assert got == {k: simulated_breaker(v, 3, 15) for k, v in cases.items()}
 
 
+def test_rows_that_are_not_sparse_are_spread(spark):
+    """Rows that look up no page are not one task's."""
+    rows = [(q, r, None if q % 5 == 0 else "u1", "long " * 40 if (q + r) % 4 else "short") for q in range(250) for r in range(1, 5)]
+    pages = spark.createDataFrame([("u1", "the page"), ("u2", None)], "url string, content string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = merge.enrich(spark.createDataFrame(rows, "query_id int, rank int, url string, description string"), pages)
+        parts = [p for p in out.rdd.glom().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    shown = sorted(((r["query_id"], r["rank"], r["url"], r["description"]) for p in parts for r in p), key=repr)
+    assert shown == sorted(((q, r, u, "the page" if r <= 3 and d == "short" and u else d) for q, r, u, d in rows), key=repr)
+    assert max(len([r for r in p if r["description"].startswith("long")]) for p in parts) < 350  # of 750, in 4 partitions
+
+
 def test_circuits_and_caches_over_many_bins(spark):
     """Bins of any width give what one pass over a key's events gives; events come without pause, and at one time."""
     rows = [(k, t, n, ok) for i, k in enumerate(["a", "b", None]) for t, n, ok in random_events(i + 60, 150, 150)]
