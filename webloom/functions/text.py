@@ -104,9 +104,9 @@ CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 
 
 def nonprintable_share(text: Name) -> Column:
-    """Of all bytes, the share of control signs; 0 of an empty text."""
+    """Of all bytes, the share of control signs; 0 of an empty text, null of none."""
     t = _c(text)
-    return F.when(F.length(t) > 0, F.regexp_count(t, F.lit(CONTROL)) / F.octet_length(t)).otherwise(0.0)
+    return F.when(t == "", 0.0).otherwise(F.regexp_count(t, F.lit(CONTROL)) / F.octet_length(t))
 
 
 def looks_like_article(text: Name) -> Column:
